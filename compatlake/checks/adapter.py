@@ -231,9 +231,16 @@ class Data:
             self.view(needed).createOrReplaceTempView(needed)
         return self.spark.sql(sql)
 
-    def reports(self) -> DataFrame:
-        """Reports as stored, with hardware, comparison categories and input position."""
-        df = self.view("reports").withColumns(
+    def reports(self, spread: bool = False) -> DataFrame:
+        """Reports as stored, with hardware, comparison categories and input position.
+
+        The given table is one small file, thus one task; ``spread`` deals it out to all cores
+        before work that is heavy per row, as the many files of a large table would be.
+        """
+        df = self.view("reports")
+        if spread:
+            df = df.repartition(self.spark.sparkContext.defaultParallelism, "k")
+        df = df.withColumns(
             {"ram_gb": parse_ram_gb(F.col("ram")), "gpu_vendor": F.lit(""), "position": F.array("k")}
         )
         return with_hardware(df)

@@ -70,6 +70,15 @@ PHRASES = (
     ("note", r"\b(?:works|runs)\s+(?:out\s+of\s+the\s+box|perfectly|flawlessly)\b"),
 )
 
+# Words of which a text must hold one for the phrase pattern of the same place to match; they save
+# most pattern matches.
+PHRASE_HINTS = (
+    ("experimental",), ("proton",), ("tool",), ("proton",), ("intro",), ("intro",), ("intro",), ("launcher",),
+    ("mode",), ("mode",), ("fullscreen",), ("input",), ("version",), ("tricks",), ("cheat",), ("eac",),
+    ("screen",), ("screen",), ("screen",), ("audio", "sound"), ("audio",), ("controller",),
+    ("freeze", "hang", "lock"), ("crash",), ("required",), ("works", "runs"),
+)
+
 # Pattern, label, description and category of known snippets; the first that matches counts.
 KNOWN_SNIPPETS = (
     ("proton_enable_wayland=1", "Use Wayland", "Fixes rendering and input on Wayland. Disable if you use X11.", "Compatibility"),

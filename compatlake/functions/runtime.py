@@ -17,12 +17,12 @@ DISPLAY_FORMS = (
 )
 
 
-def report_runtime(raw_json: Column, column_value: Column) -> Column:
+def report_runtime(document: Column, column_value: Column) -> Column:
     """Runtime of a report: the note's variant, the stored column, then the response's own fields.
 
-    JSON that cannot be read leaves the stored value as it is.
+    ``document`` is the parsed JSON, a column made beforehand. JSON that cannot be read leaves the
+    stored value as it is.
     """
-    document = F.try_parse_json(raw_json)
 
     def text_at(path: str) -> Column:
         value = F.try_variant_get(document, path, "variant")

@@ -74,11 +74,14 @@ def field_match(user: Column, report: Column, partial: bool) -> Column:
 
 def _sides(user: dict[str, Column], report: dict[str, Column]):
     for column, name, weight, partial in COMPARED_FIELDS:
-        yield name, weight, partial, comparable(user[column]), comparable(report[column])
+        yield name, weight, partial, user[column], report[column]
 
 
 def similarity(user: dict[str, Column], report: dict[str, Column]) -> Column:
-    """Weighted share of matching fields among those known on both sides; 0.5 when none is."""
+    """Weighted share of matching fields among those known on both sides; 0.5 when none is.
+
+    Both sides are ``comparable`` values, made once per machine rather than per pair.
+    """
     matched, known = [], []
     for _, weight, partial, mine, theirs in _sides(user, report):
         both = mine.isNotNull() & theirs.isNotNull()

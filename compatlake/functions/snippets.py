@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from . import rules
 from .text import contains_any, pattern, simplify, strip, text_or_empty, words
@@ -110,18 +110,37 @@ def env_label(core: Column) -> Column:
     return F.lower(strip(F.replace(name, F.lit("_"), F.lit(" "))))
 
 
-def _meta(label: Column, description: str = "", category: str = "") -> Column:
-    return F.struct(
-        label.alias("label"), F.lit(description).alias("description"), F.lit(category).alias("category")
+def meta_rule(core: Column) -> Column:
+    """Number of the first rule a snippet core matches; the core should be a column made beforehand."""
+    number = F.when(core == "", F.lit(len(rules.KNOWN_SNIPPETS)))
+    for at, (regexp, _, _, _) in enumerate(rules.KNOWN_SNIPPETS):
+        # the core is in lower case, so that plain rules need no pattern
+        found = core.rlike(pattern(regexp)) if "*" in regexp else core.contains(regexp)
+        number = number.when(found, F.lit(at))
+    return number.when(core.contains("="), F.lit(len(rules.KNOWN_SNIPPETS) + 1))
+
+
+def meta_of_rule(number: Column, core: Column) -> dict[str, Column]:
+    """Label, description and category of a rule number."""
+    known = rules.KNOWN_SNIPPETS
+
+    def pick(values: list[str]) -> Column:
+        return F.coalesce(F.get(F.array(*[F.lit(v) for v in values]), number), F.lit(""))
+
+    label = F.when(number == len(known) + 1, env_label(core)).otherwise(
+        pick([label for _, label, _, _ in known] + ["Unknown option"])
     )
+    return {
+        "label": label,
+        "description": pick([description for _, _, description, _ in known]),
+        "category": pick([category for _, _, _, category in known]),
+    }
 
 
-def core_meta(core: Column) -> Column:
-    """``(label, description, category)`` of a snippet core, which should be a column made beforehand."""
-    meta = F.when(core == "", _meta(F.lit("Unknown option")))
-    for regexp, label, description, category in rules.KNOWN_SNIPPETS:
-        meta = meta.when(core.rlike(pattern(regexp)), _meta(F.lit(label), description, category))
-    return meta.when(core.contains("="), _meta(env_label(core))).otherwise(_meta(F.lit("")))
+def with_meta(df: DataFrame, snippet: Column) -> DataFrame:
+    """Add label, description and category of a snippet."""
+    ruled = df.withColumn("_core", snippet_core(snippet)).withColumn("_rule", meta_rule(F.col("_core")))
+    return ruled.withColumns(meta_of_rule(F.col("_rule"), F.col("_core"))).drop("_core", "_rule")
 
 
 def suggestion_id(kind: Column, snippet: Column) -> Column:
@@ -148,12 +167,16 @@ def option_candidates(launch_options: Column) -> Column:
     )
 
 
-def phrase_candidates(text: Column) -> Column:
-    """First match of each phrase pattern."""
+def phrase_candidates(text: Column, low: Column) -> Column:
+    """First match of each phrase pattern; ``low`` is the text in lower case."""
     found = [
-        _candidate(kind, canonical(F.regexp_extract(text, pattern(regexp), 0))) for kind, regexp in rules.PHRASES
+        F.when(
+            contains_any(low, hints),
+            _candidate(kind, canonical(F.regexp_extract(text, pattern(regexp), 0))),
+        )
+        for (kind, regexp), hints in zip(rules.PHRASES, rules.PHRASE_HINTS)
     ]
-    return F.filter(F.array(*found), lambda c: c["canonical"] != F.lit(""))
+    return F.filter(F.array_compact(F.array(*found)), lambda c: c["canonical"] != F.lit(""))
 
 
 def command_line(text: Column) -> Column:
@@ -171,31 +194,31 @@ def command_line_candidates(text: Column) -> Column:
 
 def env_candidates(text: Column) -> Column:
     """Every environment assignment."""
-    found = F.regexp_extract_all(text, F.lit(pattern(rules.ENV_IN_TEXT)), F.lit(0))
+    found = F.when(text.contains("="), F.regexp_extract_all(text, F.lit(pattern(rules.ENV_IN_TEXT)), F.lit(0)))
+    found = F.coalesce(found, F.array().cast("array<string>"))
     return F.transform(found, lambda match: _candidate("env_var", canonical(match)))
 
 
-def wrapper_candidates(text: Column) -> Column:
-    """Every wrapper named anywhere in the text."""
-    low = F.lower(text)
+def wrapper_candidates(low: Column) -> Column:
+    """Every wrapper named anywhere in a lower-case text."""
     names = F.array(*[F.when(low.contains(name), F.lit(name)) for name in rules.WRAPPERS])
     return F.transform(F.array_compact(names), lambda name: _candidate("wrapper", name))
 
 
-def candidates(text: Column, launch_options: Column) -> Column:
+def candidates(text: Column, low: Column, launch_options: Column) -> Column:
     """All candidates of one report as one array, so that one explode yields them; NULL without text.
 
-    ``text`` is used by some thirty patterns: give it as a column made beforehand.
+    ``text`` and its lower case ``low`` are used some thirty times: give them as columns made beforehand.
     """
     return F.when(
         strip(text) != "",
         F.array_distinct(
             F.concat(
                 option_candidates(launch_options),
-                phrase_candidates(text),
+                phrase_candidates(text, low),
                 command_line_candidates(text),
                 env_candidates(text),
-                wrapper_candidates(text),
+                wrapper_candidates(low),
             )
         ),
     )

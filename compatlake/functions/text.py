@@ -38,7 +38,13 @@ def first_nonblank(*values: Column) -> Column:
 
 
 def pattern(regexp: str, ignore_case: bool = True) -> str:
-    """A regexp whose word boundaries are ASCII, as a Java pattern."""
+    """A regexp whose word boundaries are ASCII, as a Java pattern.
+
+    A boundary at the start stands before a word character in all patterns used here, so that a
+    look behind is enough.
+    """
+    if regexp.startswith(r"\b"):
+        regexp = "(?<![A-Za-z0-9_])" + regexp[2:]
     return ("(?i)" if ignore_case else "") + regexp.replace(r"\b", _EDGE)
 
 

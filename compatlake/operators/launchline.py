@@ -163,10 +163,9 @@ def current_options(existing: DataFrame) -> DataFrame:
         "appid",
         F.posexplode(F.filter(F.split(prefix, r"\s+"), lambda t: (t != "") & (t != rules.COMMAND))).alias("at", "snippet"),
     )
-    cored = tokens.withColumn("_core", snippets.snippet_core(F.col("snippet")))
-    cored = cored.withColumn("_meta", snippets.core_meta(F.col("_core")))
-    label = F.coalesce(F.nullif(F.col("_meta.label"), F.lit("")), F.col("snippet"))
-    return cored.select(
+    labelled = snippets.with_meta(tokens, F.col("snippet"))
+    label = F.coalesce(F.nullif(F.col("label"), F.lit("")), F.col("snippet"))
+    return labelled.select(
         "profile_id",
         "appid",
         "at",
@@ -174,7 +173,7 @@ def current_options(existing: DataFrame) -> DataFrame:
         F.lit("env_var").alias("kind"),
         "snippet",
         F.concat(F.upper(F.substring(label, 1, 1)), F.substring(label, 2, 2147483647)).alias("label"),
-        F.coalesce(F.nullif(F.col("_meta.description"), F.lit("")), F.lit("Currently set in Steam")).alias("description"),
+        F.coalesce(F.nullif(F.col("description"), F.lit("")), F.lit("Currently set in Steam")).alias("description"),
         F.lit("Current").alias("category"),
         F.lit(1).cast("bigint").alias("occurrences"),
         F.lit(1.0).alias("similarity"),

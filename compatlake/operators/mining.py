@@ -19,7 +19,8 @@ SHOWN = 15
 def mine(reports: DataFrame, now: Column) -> DataFrame:
     """One row per candidate of a report, from one scan and one explode."""
     text = snippets.search_text(F.col("notes"), F.col("launch_options"))
-    machine = [F.struct(*NORM_COLUMNS).alias("hardware")] if "norm_kernel" in reports.columns else []
+    known = [scores.comparable(F.col(name)).alias(name) for name in NORM_COLUMNS if name in reports.columns]
+    machine = [F.struct(*known).alias("hardware")] if known else []
     rows = reports.select(
         "appid",
         F.concat_ws(":", "source_id", "source_report_id").alias("source_key"),
@@ -29,8 +30,9 @@ def mine(reports: DataFrame, now: Column) -> DataFrame:
         "launch_options",
         text.alias("_text"),
     )
-    found = F.explode(snippets.candidates(F.col("_text"), F.col("launch_options"))).alias("c")
-    kept = [c for c in rows.columns if c not in ("launch_options", "_text")]
+    rows = rows.withColumn("_low", F.lower("_text"))
+    found = F.explode(snippets.candidates(F.col("_text"), F.col("_low"), F.col("launch_options"))).alias("c")
+    kept = [c for c in rows.columns if c not in ("launch_options", "_text", "_low")]
     return rows.select(*kept, found).select(*kept, "c.kind", "c.canonical")
 
 
@@ -51,19 +53,27 @@ def tally(candidates: DataFrame) -> DataFrame:
     return counted.withColumn("hardware", F.when(F.col("_whole") == 0, F.col("hardware"))).drop("_whole")
 
 
-def with_meta(totals: DataFrame, snippet: str = "canonical") -> DataFrame:
-    """Add label, description and category of a snippet."""
-    cored = totals.withColumn("_core", snippets.snippet_core(F.col(snippet)))
-    return cored.withColumn("_meta", snippets.core_meta(F.col("_core"))).select(*totals.columns, "_meta.*")
+def mined(reports: DataFrame, now: Column) -> DataFrame:
+    """Tallied candidates with metadata, stored once for all that is made of them."""
+    tallied = tally(mine(reports, now))
+    whole = F.when(F.col("hardware").isNull(), F.col("canonical"))
+    return stored(snippets.with_meta(tallied, whole))
 
 
 def score_candidates(tallied: DataFrame, requests: DataFrame, profiles: DataFrame) -> DataFrame:
     """Tallied candidates per asking machine, with the best similarity among their reporters."""
     whole = F.col("hardware").isNull()
-    rows = tallied.withColumn("_order", F.struct("kind", "canonical"))
-    joined = sliced_join(
-        rows, asked(requests, profiles), "appid", ["kind", "canonical", "hardware"]
-    ).withColumns({name: F.col("hardware")[name] for name in NORM_COLUMNS})
+    rows = tallied.select(
+        "appid",
+        "kind",
+        "canonical",
+        whole.alias("_whole"),
+        "occurrences",
+        "recency",
+        *[F.col("hardware")[name].alias(name) for name in NORM_COLUMNS],
+    )
+    joined = sliced_join(rows, asked(requests, profiles), "appid", ["kind", "canonical", *NORM_COLUMNS])
+    whole = F.col("_whole")
     similar = F.when(~whole, scores.similarity(*similarity_columns()))
     best = joined.groupBy("profile_id", "appid", "kind", "canonical").agg(
         F.max(similar).alias("similarity"),
@@ -222,12 +232,12 @@ def merge(scored: DataFrame, totals: DataFrame) -> DataFrame:
 def labelled_totals(tallied: DataFrame) -> DataFrame:
     """Counts of the candidates worth showing, with their metadata and merge key."""
     totals = tallied.where(F.col("hardware").isNull()).drop("hardware")
-    return with_meta(totals).where(worth_showing()).withColumn("key", merge_key())
+    return totals.where(worth_showing()).withColumn("key", merge_key())
 
 
 def suggestions(reports: DataFrame, requests: DataFrame, profiles: DataFrame, now: Column) -> DataFrame:
     """Merged suggestions of every request. ``reports`` carry the hardware categories."""
-    tallied = stored(tally(mine(reports, now)))
+    tallied = mined(reports, now)
     return merge(score_candidates(tallied, requests, profiles), labelled_totals(tallied))
 
 

@@ -36,8 +36,10 @@ def with_hardware(df: DataFrame) -> DataFrame:
 
 
 def asked(requests: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Requests ``(profile_id, appid)`` with the categories of the machine."""
-    machine = profiles.select("profile_id", *[F.col(name).alias(USER + name) for name in NORM_COLUMNS])
+    """Requests ``(profile_id, appid)`` with the comparable categories of the machine."""
+    machine = profiles.select(
+        "profile_id", *[scores.comparable(F.col(name)).alias(USER + name) for name in NORM_COLUMNS]
+    )
     return requests.select("profile_id", "appid").join(machine, "profile_id")
 
 
@@ -64,7 +66,15 @@ def compare(reports: DataFrame, requests: DataFrame, profiles: DataFrame, now: C
     Columns of a report not in ``keep`` are used before the join and left behind.
     """
     scored = with_scores(reports, now).select(
-        "appid", "source_report_id", "ts", "recency", "age_days", "freshness", "quality", *keep, *NORM_COLUMNS
+        "appid",
+        "source_report_id",
+        "ts",
+        "recency",
+        "age_days",
+        "freshness",
+        "quality",
+        *keep,
+        *[scores.comparable(F.col(name)).alias(name) for name in NORM_COLUMNS],
     )
     joined = sliced_join(scored, asked(requests, profiles), "appid", ["source_report_id", "ts"])
     similar = joined.withColumn("similarity", scores.similarity(*similarity_columns()))

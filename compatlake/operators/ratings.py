@@ -56,7 +56,8 @@ def with_runtime(reports: DataFrame) -> DataFrame:
     """Reports with their runtime; a stored ``runtime`` column is used as it is."""
     if "runtime" in reports.columns:
         return reports
-    return reports.withColumn("runtime", report_runtime(F.col("raw_json"), F.col("proton_version")))
+    parsed = reports.withColumn("_document", F.try_parse_json("raw_json"))
+    return parsed.withColumn("runtime", report_runtime(F.col("_document"), F.col("proton_version"))).drop("_document")
 
 
 def common_runtimes(reports: DataFrame, now: Column) -> DataFrame:

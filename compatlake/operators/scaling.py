@@ -29,21 +29,26 @@ def sliced_join(large: DataFrame, small: DataFrame, key: str, spread: list[str],
 def number_rows(df: DataFrame, group: list[str], order: list[Column], name: str = "rank") -> DataFrame:
     """Row numbers 1, 2, ... within each group, without ever putting a group into one task.
 
-    Rows are range-partitioned by group and order, which cuts large groups; each piece is numbered
-    by itself and shifted by the size of the pieces before it. The placement is stored first, so
-    that numbers and sizes are taken from the same pieces. ``order`` must tell all rows apart.
+    Rows are range-partitioned by group and order, which cuts large groups, sorted and counted
+    through within each partition; a row's number is its place in its partition, less the place
+    where its group starts there, plus what earlier partitions hold of the group. The placement is
+    stored first, so that places and sizes are taken from the same rows. ``order`` must tell all
+    rows apart.
     """
-    keys = [F.col(column).asc() for column in group]
-    placed = stored(df.repartitionByRange(*keys, *order).withColumn("_piece", F.spark_partition_id()))
-    pieces = placed.groupBy(*group, "_piece").agg(F.count(F.lit(1)).alias("_size"))
+    keys = [*[F.col(column).asc() for column in group], *order]
+    sorted_rows = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    placed = stored(sorted_rows.withColumn("_at", F.monotonically_increasing_id()))
+    placed = placed.withColumn("_piece", F.shiftright("_at", 33))
+    pieces = placed.groupBy(*group, "_piece").agg(
+        F.min("_at").alias("_start"), F.count(F.lit(1)).alias("_size")
+    )
     before = Window.partitionBy(*group).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = pieces.select(*group, "_piece", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_shift"))
-    inside = Window.partitionBy(*group, "_piece").orderBy(*order)
+    earlier = F.coalesce(F.sum("_size").over(before), F.lit(0))
+    shifts = pieces.select(*group, "_piece", (earlier - F.col("_start") + 1).alias("_shift"))
     return (
-        placed.withColumn("_local", F.row_number().over(inside))
-        .join(shifts, [*group, "_piece"])
-        .withColumn(name, (F.col("_local") + F.col("_shift")).cast("bigint"))
-        .drop("_piece", "_local", "_shift")
+        placed.join(shifts, [*group, "_piece"])
+        .withColumn(name, F.col("_at") + F.col("_shift"))
+        .drop("_piece", "_at", "_shift")
     )
 
 
