@@ -99,7 +99,7 @@ SELECT *, 'r' || CAST(k AS STRING) AS source_report_id, 'board:' || CAST(k % 3 A
     || '"}},"audioFaults":"' || verdict || '","saveGameFaults":"' || rating || '"}}'
   WHEN 4 THEN '{{"responses":{{"answerToWhatGame":"' || CAST(appid AS STRING) || '","tier":" ' || rating
     || '","verdict":"' || verdict || '","protonVersion":"native"}},"time":' || CAST(EPOCH(ts) AS STRING)
-    || '123,"gpu":"' || gpu_model || '","kernel":"' || kernel || '"}}'
+    || '.25,"gpu":"' || gpu_model || '","kernel":"' || kernel || '"}}'
   ELSE CASE WHEN k % 12 = 5 THEN 'no json' ELSE '{{"appid":"none","title":"x","time":"' || ISO_SECONDS(ts) || '"}}' END
   END AS raw_json
 FROM report_columns

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .hardware import gpu_vendor_label
-from .text import dedupe_ignoring_case, first_nonblank, present, strip
+from .text import bind, dedupe_ignoring_case, present, strip
 
 # Spellings under which a field may stand.
 APP_ID_KEYS = ("appid", "appId", "steamAppId", "steam_appid")
@@ -35,15 +35,8 @@ GPU_KEYS = ("gpu", "graphics", "videoCard", "video_card")
 # Answers that are no free text.
 FORM_ANSWERS = ("yes", "no", "n/a", "na", "none", "default", "true", "false")
 # Text forms of a report time, beside epoch numbers.
-TIME_FORMS = (
-    "yyyy-MM-dd'T'HH:mm:ss.SSSX",
-    "yyyy-MM-dd'T'HH:mm:ssX",
-    "yyyy-MM-dd'T'HH:mm:ss.SSSXXX",
-    "yyyy-MM-dd'T'HH:mm:ssXXX",
-    "yyyy-MM-dd'T'HH:mm:ss.SSS",
-    "yyyy-MM-dd'T'HH:mm:ss",
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd",
+TIME_FORM = (
+    r"^\d{4}-\d{2}-\d{2}(T\d{2}:\d{2}:\d{2}(\.\d{3})?(Z|[+-]\d{2}:\d{2})?| \d{2}:\d{2}:\d{2})?$"
 )
 
 
@@ -54,16 +47,20 @@ def members(record: Column) -> Column:
     )
 
 
-def folded(found: Column) -> Column:
-    """The same map under lower-case keys; of keys that differ in case only, the first counts."""
-    low = F.transform(F.map_keys(found), F.lower)
-    first = lambda item, at: F.array_position(low, F.get(low, at)) == at + F.lit(1)
-    return F.map_from_arrays(F.filter(low, first), F.filter(F.map_values(found), first))
+def folded(keys: Column, values: Column) -> Column:
+    """A map under lower-case keys; of keys that differ in case only, the first counts."""
+    low = F.transform(keys, F.lower)
 
+    def first_ones(low: Column) -> Column:
+        first = lambda item, at: F.array_position(low, F.get(low, at)) == at + F.lit(1)
+        return F.map_from_arrays(F.filter(low, first), F.filter(values, first))
 
-def _first(values: list[Column]) -> Column:
-    """First value that is not NULL; an array keeps the generated code of long key lists small."""
-    return F.get(F.filter(F.array(*values), lambda value: value.isNotNull()), F.lit(0))
+    return bind(
+        low,
+        lambda low: F.when(
+            F.size(F.array_distinct(low)) == F.size(low), F.map_from_arrays(low, values)
+        ).otherwise(first_ones(low)),
+    )
 
 
 def scalar_texts(found: Column) -> Column:
@@ -72,36 +69,39 @@ def scalar_texts(found: Column) -> Column:
 
 
 class Members:
-    """Lookups in the maps of one object: exact spelling first, then any case."""
+    """Lookups in the maps of one object: exact spelling first, then any case.
 
-    MAPS = ("exact", "any_case", "exact_text", "any_case_text")
+    A look-up is one SQL text, so that the many of them stay cheap to build and to compile.
+    """
 
-    def __init__(self, exact: Column, any_case: Column, exact_text: Column, any_case_text: Column):
-        self.exact, self.any_case = exact, any_case
-        self.exact_text, self.any_case_text = exact_text, any_case_text
+    def __init__(self, name: str):
+        self.exact, self.any_case = f"_{name}_exact", f"_{name}_any_case"
 
-    @staticmethod
-    def _lookups(exact: Column, any_case: Column, keys: tuple[str, ...]) -> list[Column]:
-        low = list(dict.fromkeys(key.lower() for key in keys))
-        return [exact[key] for key in keys] + [any_case[key] for key in low]
+    def _lookups(self, keys: tuple[str, ...], suffix: str = "") -> str:
+        low = dict.fromkeys(key.lower() for key in keys)
+        found = [f"{self.exact}{suffix}['{key}']" for key in keys]
+        return ", ".join(found + [f"{self.any_case}{suffix}['{key}']" for key in low])
 
     def value(self, *keys: str) -> Column:
-        return _first(self._lookups(self.exact, self.any_case, keys))
+        return F.expr(f"get(transform(array(coalesce({self._lookups(keys)})), v -> v), 0)")
 
     def text(self, *keys: str) -> Column:
         """Text of the first member present; NULL where that is blank or no scalar."""
-        return F.nullif(_first(self._lookups(self.exact_text, self.any_case_text, keys)), F.lit(""))
+        return F.expr(f"get(transform(array(coalesce({self._lookups(keys, '_text')})), t -> nullif(t, '')), 0)")
 
 
 def add_members(df: DataFrame, name: str, record: Column) -> tuple[DataFrame, Members]:
-    """Add the four maps of an object as columns and give the lookups over them."""
-    exact, any_case, exact_text, any_case_text = [f"_{name}_{part}" for part in Members.MAPS]
-    df = df.withColumn(exact, members(record))
-    df = df.withColumn(any_case, folded(F.col(exact)))
+    """Add the maps of an object as columns and give the lookups over them."""
+    found = Members(name)
+    exact, texts, keys = F.col(found.exact), found.exact + "_text", F.map_keys(found.exact)
+    df = df.withColumn(found.exact, members(record)).withColumn(texts, scalar_texts(exact))
     df = df.withColumns(
-        {exact_text: scalar_texts(F.col(exact)), any_case_text: scalar_texts(F.col(any_case))}
+        {
+            found.any_case: folded(keys, F.map_values(exact)),
+            found.any_case + "_text": folded(keys, F.map_values(texts)),
+        }
     )
-    return df, Members(F.col(exact), F.col(any_case), F.col(exact_text), F.col(any_case_text))
+    return df, found
 
 
 def kind_of(value: Column) -> Column:
@@ -111,34 +111,36 @@ def kind_of(value: Column) -> Column:
 
 def as_text(value: Column) -> Column:
     """Text of a scalar, stripped; empty for objects and arrays."""
-    kind = kind_of(value)
     plain = F.try_variant_get(value, "$", "string")
-    return (
-        F.when(kind == "STRING", strip(plain))
+    return bind(
+        kind_of(value),
+        lambda kind: F.when(kind == "STRING", strip(plain))
         .when(kind.isin("OBJECT", "ARRAY", "VOID"), F.lit(""))
         # a whole number held as a fraction prints without its point
         .when(kind.isin("DOUBLE", "DECIMAL", "FLOAT"), F.regexp_replace(plain, r"\.0+$", ""))
-        .otherwise(plain)
+        .otherwise(plain),
     )
 
 
 def as_int(value: Column) -> Column:
     """Numbers are cut, texts must be whole numbers; else NULL."""
-    text = strip(F.try_variant_get(value, "$", "string"))
-    number = kind_of(value).isin("BIGINT", "DECIMAL", "DOUBLE")
-    return (
-        F.when(kind_of(value) == "STRING", F.when(text.rlike(r"^[+-]?\d+$"), text.try_cast("int")))
-        .when(number, F.try_variant_get(value, "$", "double").try_cast("int"))
+
+    def whole(text: Column) -> Column:
+        return F.when(text.rlike(r"^[+-]?\d+$"), text.try_cast("int"))
+
+    return bind(
+        kind_of(value),
+        lambda kind: F.when(kind == "STRING", whole(strip(F.try_variant_get(value, "$", "string")))).when(
+            kind.isin("BIGINT", "DECIMAL", "DOUBLE"), F.try_variant_get(value, "$", "double").try_cast("int")
+        ),
     )
 
 
 def as_gb(value: Column) -> Column:
     """A number, or a text of one with an optional GB behind it; else 0."""
     text = strip(F.regexp_replace(strip(F.try_variant_get(value, "$", "string")), "(?i)GB$", ""))
-    number = F.when(
-        kind_of(value).isin("STRING", "BIGINT", "DECIMAL", "DOUBLE"), text.try_cast("double")
-    )
-    return F.coalesce(number, F.lit(0.0))
+    number = F.when(kind_of(value).isin("STRING", "BIGINT", "DECIMAL", "DOUBLE"), text.try_cast("double"))
+    return bind(number, lambda n: F.coalesce(n, F.lit(0.0)))
 
 
 def is_free_text(value: Column) -> Column:
@@ -150,29 +152,31 @@ def is_free_text(value: Column) -> Column:
 def _free_texts(value: Column, depth: int) -> Column:
     """Free texts in a value: its own, those of members under their keys, those of items."""
     none = F.array().cast("array<string>")
-    text = F.when(kind_of(value) == "STRING", strip(F.try_variant_get(value, "$", "string")))
-    own = F.when(is_free_text(text), F.array(text)).otherwise(none)
-    if depth == 0:
-        return own
-    entries = F.map_entries(F.try_variant_get(value, "$", "map<string,variant>"))
-    named = F.flatten(
-        F.transform(
-            entries,
-            lambda e: F.transform(
-                _free_texts(e["value"], depth - 1), lambda t: F.concat(e["key"], F.lit(": "), t)
-            ),
+    text = strip(F.try_variant_get(value, "$", "string"))
+    own = bind(text, lambda t: F.when(is_free_text(t), F.array(t)))
+
+    def below(kind: Column) -> Column:
+        if depth == 0:
+            return F.when(kind == "STRING", own)
+        named = F.flatten(
+            F.transform(
+                F.map_entries(F.try_variant_get(value, "$", "map<string,variant>")),
+                lambda e: F.transform(
+                    _free_texts(e["value"], depth - 1), lambda t: F.concat(e["key"], F.lit(": "), t)
+                ),
+            )
         )
-    )
-    items = F.flatten(
-        F.transform(F.try_variant_get(value, "$", "array<variant>"), lambda v: _free_texts(v, depth - 1))
-    )
-    kind = kind_of(value)
-    return F.when(kind == "OBJECT", named).when(kind == "ARRAY", items).otherwise(own)
+        items = F.flatten(
+            F.transform(F.try_variant_get(value, "$", "array<variant>"), lambda v: _free_texts(v, depth - 1))
+        )
+        return F.when(kind == "STRING", own).when(kind == "OBJECT", named).when(kind == "ARRAY", items)
+
+    return F.coalesce(F.when(value.isNotNull(), bind(kind_of(value), below)), none)
 
 
 def note_texts(value: Column) -> Column:
     """Free texts of a note value, up to two levels of nesting."""
-    return F.coalesce(_free_texts(value, 2), F.array().cast("array<string>"))
+    return bind(value, lambda v: _free_texts(v, 2))
 
 
 def report_time(value: Column) -> Column:
@@ -180,14 +184,14 @@ def report_time(value: Column) -> Column:
     text = F.when(
         kind_of(value).isin("STRING", "BIGINT", "DECIMAL", "DOUBLE"), strip(F.try_variant_get(value, "$", "string"))
     )
-    return report_time_text(text)
+    return bind(text, report_time_text)
 
 
 def report_time_text(text: Column) -> Column:
     number = text.try_cast("double")
     millis = F.when(number > 1e12, number).otherwise(number * 1000.0)
     epoch = F.when((number > 0) & (millis < 9e18), F.timestamp_millis(F.when(millis < 9e18, millis).cast("bigint")))
-    written = F.coalesce(*[F.try_to_timestamp(text, F.lit(form)) for form in TIME_FORMS])
+    written = F.when(text.rlike(TIME_FORM), text.try_cast("timestamp"))
     return F.when(number.isNotNull(), epoch).otherwise(written)
 
 
@@ -235,12 +239,12 @@ def runtime_version(top: Members, responses: Members) -> Column:
     return F.coalesce(top.text(*RUNTIME_KEYS), responses.text(*RUNTIME_KEYS))
 
 
+def _fault_text(found: Members, key: str) -> Column:
+    return bind(found.text(key), lambda text: F.when(is_free_text(text), F.concat(F.lit(key + ": "), text)))
+
+
 def _fault_texts(found: Members) -> Column:
-    texts = []
-    for key in FAULT_KEYS:
-        text = found.text(key)
-        texts.append(F.when(is_free_text(text), F.concat(F.lit(key + ": "), text)))
-    return F.array_compact(F.array(*texts))
+    return F.array_compact(F.array(*[_fault_text(found, key) for key in FAULT_KEYS]))
 
 
 def notes(top: Members, responses: Members) -> Column:
@@ -256,38 +260,38 @@ def notes(top: Members, responses: Members) -> Column:
 
 def system_info(system: Members, gpu: Members, top: Members) -> dict[str, Column]:
     """The eight hardware fields of a record; texts are NULL where missing."""
-    gpu_text = first_nonblank(system.text(*GPU_KEYS), top.text("gpu"))
+    gpu_text = F.coalesce(system.text(*GPU_KEYS), top.text("gpu"))
     ram = as_gb(system.value("ramGb", "ramGB", "ram_gb", "ram", "memory"))
     return {
-        "gpu_vendor": first_nonblank(
+        "gpu_vendor": F.coalesce(
             system.text("gpuVendor", "gpu_vendor", "vendor"),
             gpu.text("vendor", "gpuVendor", "gpu_vendor"),
             top.text("gpuVendor", "gpu_vendor"),
-            gpu_vendor_label(gpu_text),
+            bind(gpu_text, lambda text: F.nullif(gpu_vendor_label(text), F.lit(""))),
         ),
-        "gpu_model": first_nonblank(
+        "gpu_model": F.coalesce(
             system.text("gpuModel", "gpu_model", "gpuName", "gpu_name", "name", "model"),
             gpu.text("name", "model", "gpuName", "gpu_model"),
             top.text("gpuModel", "gpu_model", "gpuName", "gpu_name"),
             gpu_text,
         ),
-        "gpu_driver": first_nonblank(
+        "gpu_driver": F.coalesce(
             system.text("gpuDriver", "gpu_driver", "driver", "driverVersion", "driver_version"),
             gpu.text("driver", "driverVersion", "driver_version"),
             top.text("gpuDriver", "gpu_driver", "driver", "driverVersion", "driver_version"),
         ),
-        "cpu": first_nonblank(
+        "cpu": F.coalesce(
             system.text("cpu", "cpuModel", "cpu_model", "processor"), top.text("cpu", "cpuModel", "cpu_model")
         ),
-        "ram_gb": F.when(ram > 0, ram).otherwise(as_gb(top.value("ramGb", "ramGB", "ram_gb"))),
-        "distro": first_nonblank(
+        "ram_gb": bind(ram, lambda gb: F.when(gb > 0, gb).otherwise(as_gb(top.value("ramGb", "ramGB", "ram_gb")))),
+        "distro": F.coalesce(
             system.text("distro", "distribution", "os", "osName", "os_name"), top.text("distro", "distribution", "os")
         ),
-        "kernel": first_nonblank(
+        "kernel": F.coalesce(
             system.text("kernel", "kernelVersion", "kernel_version"),
             top.text("kernel", "kernelVersion", "kernel_version"),
         ),
-        "desktop": first_nonblank(
+        "desktop": F.coalesce(
             system.text("desktop", "desktopEnvironment", "desktop_environment", "session", "sessionType"),
             top.text("desktop", "desktopEnvironment", "session"),
         ),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .text import classify, contains_any, simplify, strip, text_or_empty
+from .text import bind, classify, contains_any, simplify, strip, text_or_empty
 
 # Category tables, tried in order.
 GPU_VENDORS = (
@@ -114,14 +114,17 @@ def version_major_minor(value: Column) -> Column:
 
 def parse_ram_gb(value: Column) -> Column:
     """RAM text with an optional unit, in GiB; 0 when no number is found."""
-    text = F.lower(strip(text_or_empty(value)))
-    number = F.regexp_extract(text, r"([-+]?\d+(?:\.\d+)?)", 1).try_cast("double")
-    scaled = (
-        F.when(contains_any(text, ("mib", "mb")), number / 1024.0)
-        .when(contains_any(text, ("kib", "kb")), number / 1024.0 / 1024.0)
-        .otherwise(number)
-    )
-    return F.coalesce(scaled, F.lit(0.0))
+
+    def scaled(text: Column) -> Column:
+        number = F.regexp_extract(text, r"([-+]?\d+(?:\.\d+)?)", 1).try_cast("double")
+        size = (
+            F.when(contains_any(text, ("mib", "mb")), number / 1024.0)
+            .when(contains_any(text, ("kib", "kb")), number / 1024.0 / 1024.0)
+            .otherwise(number)
+        )
+        return F.coalesce(size, F.lit(0.0))
+
+    return bind(F.lower(strip(text_or_empty(value))), scaled)
 
 
 def normalized_profile(

@@ -54,28 +54,39 @@ def words(value: Column, separator: str = " ") -> Column:
 
 
 def contains_any(value: Column, needles: tuple[str, ...]) -> Column:
-    found = F.lit(False)
-    for needle in needles:
+    found = value.contains(needles[0])
+    for needle in needles[1:]:
         found = found | value.contains(needle)
     return found
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used; keeps generated code small."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def classify(value: Column, classes: tuple[tuple[str, tuple[str, ...]], ...], default: str) -> Column:
     """First class any of whose needles the text holds."""
-    label: Column | None = None
-    for name, needles in classes:
-        test = contains_any(value, needles)
-        label = F.when(test, F.lit(name)) if label is None else label.when(test, F.lit(name))
-    return label.otherwise(F.lit(default))
+
+    def label(text: Column) -> Column:
+        found: Column | None = None
+        for name, needles in classes:
+            test = contains_any(text, needles)
+            found = F.when(test, F.lit(name)) if found is None else found.when(test, F.lit(name))
+        return found.otherwise(F.lit(default))
+
+    return bind(value, label)
 
 
 def dedupe_ignoring_case(values: Column) -> Column:
     """Stripped non-blank texts, the first spelling of each kept in order."""
+
+    def first_spellings(clean: Column, low: Column) -> Column:
+        distinct = F.filter(clean, lambda text, at: F.array_position(low, F.get(low, at)) == at + F.lit(1))
+        return F.when(F.size(clean) < 2, clean).otherwise(distinct)
+
     clean = F.filter(F.transform(values, strip), lambda text: text != F.lit(""))
-    return F.filter(
-        clean,
-        lambda text, at: F.array_position(F.transform(clean, F.lower), F.lower(text)) == at + F.lit(1),
-    )
+    return bind(clean, lambda c: bind(F.transform(c, F.lower), lambda low: first_spellings(c, low)))
 
 
 def sentence_list(values: Column, limit: int) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import ensure_checkpoint_dir
 
-#: Pieces a key of the large side is cut into before it meets the small side.
+#: Least number of pieces a key of the large side is cut into before it meets the small side.
 SLICES = 16
 
 
@@ -16,11 +16,14 @@ def stored(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def sliced_join(large: DataFrame, small: DataFrame, key: str, spread: list[str], slices: int = SLICES) -> DataFrame:
+def sliced_join(large: DataFrame, small: DataFrame, key: str, spread: list[str]) -> DataFrame:
     """Inner join in which each key of ``large`` is cut into slices and ``small`` is repeated per slice.
 
-    ``spread`` are the columns of ``large`` that tell its rows apart.
+    ``spread`` are the columns of ``large`` that tell its rows apart. The number of slices follows
+    the shuffle width, so that a key with a third of all rows still fills the cluster.
     """
+    width = int(large.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slices = max(SLICES, width // 8)
     cut = large.withColumn("_slice", F.pmod(F.xxhash64(*spread), F.lit(slices)).cast("int"))
     copies = small.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
     return cut.join(copies, [key, "_slice"]).drop("_slice")

@@ -180,10 +180,11 @@ def import_snapshot(
     if old and store.has_reports():
         # whatever other kinds of source brought stays
         reports = reports.unionByName(tables.of_kept_runs(store.table("reports"), kept))
-    # sorted by app within files, so that row groups can be skipped when one app is read
-    reports.repartition("appid", F.pmod(F.xxhash64("source_report_id"), F.lit(16))).sortWithinPartitions(
-        "appid", F.col("ts").desc()
-    ).write.mode("overwrite").parquet(store.path("reports", version))
+    # ranges of app and time: a popular app spreads over many files, and row groups can be skipped
+    order = [F.col("appid").asc(), F.col("ts").desc(), F.col("source_report_id").asc()]
+    reports.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(
+        store.path("reports", version)
+    )
     written = spark.read.parquet(store.path("reports", version))
     games = tables.upsert_games(store.table("games"), tables.games_of(written.where(F.col("run_id") == run_id)))
     tables.without_orphans(games, written).write.mode("overwrite").parquet(store.path("games", version))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fields
-from ..functions.text import first_nonblank, text_or_empty
+from ..functions.text import present, text_or_empty
 from ..schemas import SYSTEM_FIELDS
 
 #: How deep reports may lie in a document.
@@ -162,8 +162,8 @@ def normalize(records: DataFrame, source_id: Column) -> DataFrame:
         "source_id",
         F.when(given.isNull() | given.rlike(r"^[+-]?\d+$"), generated).otherwise(given).alias("source_report_id"),
         "appid",
-        first_nonblank(
-            F.col("_own_title"), F.col("_in_title"), F.concat(F.lit("Steam App "), F.col("appid").cast("string"))
+        F.coalesce(
+            "_own_title", present(F.col("_in_title")), F.concat(F.lit("Steam App "), F.col("appid").cast("string"))
         ).alias("title"),
         "ts",
         "verdict",
