@@ -184,7 +184,7 @@ FROM customer
 _SELECTED = """
 SELECT o_custkey AS line_id, o_orderkey AS pos, 's' || CAST(o_orderkey AS STRING) AS id,
   CASE o_orderkey % 8 WHEN 7 THEN 'workaround' WHEN 5 THEN 'env_var' WHEN 6 THEN 'wrapper' ELSE 'launch_option' END AS kind,
-  CASE o_orderkey % 8 WHEN 5 THEN CASE o_orderkey % 3 WHEN 0 THEN 'DXVK_ASYNC=1' WHEN 1 THEN '"DXVK_ASYNC=0"' ELSE 'PROTON_LOG=' || CAST(o_orderkey % 4 AS STRING) END
+  CASE o_orderkey % 8 WHEN 5 THEN CASE o_orderkey % 3 WHEN 0 THEN 'DXVK_ASYNC=1' WHEN 1 THEN '"DXVK_ASYNC=0"' ELSE 'PROTON_LOG=' || CAST(o_orderkey % 5 AS STRING) END
     WHEN 6 THEN CASE o_orderkey % 3 WHEN 0 THEN 'MangoHud' ELSE 'gamemoderun' END
     WHEN 7 THEN 'use proton experimental' ELSE launch_options END AS snippet
 FROM orders JOIN report_columns ON k = o_orderkey

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .hardware import gpu_vendor_label
-from .text import bind, dedupe_ignoring_case, present, strip
+from .text import BLANKS, bind, dedupe_ignoring_case, present, strip
 
 # Spellings under which a field may stand.
 APP_ID_KEYS = ("appid", "appId", "steamAppId", "steam_appid")
@@ -40,6 +40,22 @@ TIME_FORM = (
 )
 
 
+def _kind(value: str) -> str:
+    """SQL for the type name of a variant value, up to its parameters."""
+    return f"substring_index(substring_index(schema_of_variant({value}), '(', 1), '<', 1)"
+
+
+def _text(value: str) -> str:
+    """SQL for the text of a scalar, stripped; empty for objects and arrays."""
+    plain = f"try_variant_get({value}, '$', 'string')"
+    # a whole number held as a fraction prints without its point
+    return (
+        f"get(transform(array({_kind(value)}), kind -> CASE WHEN kind = 'STRING' THEN btrim({plain}, '{BLANKS}') "
+        "WHEN kind IN ('OBJECT', 'ARRAY', 'VOID') THEN '' "
+        f"WHEN kind IN ('DOUBLE', 'DECIMAL', 'FLOAT') THEN regexp_replace({plain}, '[.]0+$', '') ELSE {plain} END), 0)"
+    )
+
+
 def members(record: Column) -> Column:
     """Members of an object that are not null; NULL for anything else."""
     return F.map_filter(
@@ -47,25 +63,19 @@ def members(record: Column) -> Column:
     )
 
 
-def folded(keys: Column, values: Column) -> Column:
-    """A map under lower-case keys; of keys that differ in case only, the first counts."""
-    low = F.transform(keys, F.lower)
-
-    def first_ones(low: Column) -> Column:
-        first = lambda item, at: F.array_position(low, F.get(low, at)) == at + F.lit(1)
-        return F.map_from_arrays(F.filter(low, first), F.filter(values, first))
-
-    return bind(
-        low,
-        lambda low: F.when(
-            F.size(F.array_distinct(low)) == F.size(low), F.map_from_arrays(low, values)
-        ).otherwise(first_ones(low)),
+def folded(found: str) -> Column:
+    """A map column under lower-case keys; of keys that differ in case only, the first counts."""
+    first = "(x, i) -> array_position(low, get(low, i)) = i + 1"
+    return F.expr(
+        f"get(transform(array(transform(map_keys({found}), k -> lower(k))), low -> "
+        f"CASE WHEN size(array_distinct(low)) = size(low) THEN map_from_arrays(low, map_values({found})) "
+        f"ELSE map_from_arrays(filter(low, {first}), filter(map_values({found}), {first})) END), 0)"
     )
 
 
-def scalar_texts(found: Column) -> Column:
-    """The members as stripped texts; empty for objects and arrays."""
-    return F.transform_values(found, lambda _, value: as_text(value))
+def scalar_texts(found: str) -> Column:
+    """The members of a map column as stripped texts; empty for objects and arrays."""
+    return F.expr(f"transform_values({found}, (k, v) -> {_text('v')})")
 
 
 class Members:
@@ -93,15 +103,10 @@ class Members:
 def add_members(df: DataFrame, name: str, record: Column) -> tuple[DataFrame, Members]:
     """Add the maps of an object as columns and give the lookups over them."""
     found = Members(name)
-    exact, texts, keys = F.col(found.exact), found.exact + "_text", F.map_keys(found.exact)
-    df = df.withColumn(found.exact, members(record)).withColumn(texts, scalar_texts(exact))
-    df = df.withColumns(
-        {
-            found.any_case: folded(keys, F.map_values(exact)),
-            found.any_case + "_text": folded(keys, F.map_values(texts)),
-        }
-    )
-    return df, found
+    texts = found.exact + "_text"
+    df = df.withColumn(found.exact, members(record)).withColumn(texts, scalar_texts(found.exact))
+    folds = {found.any_case: folded(found.exact), found.any_case + "_text": folded(texts)}
+    return df.withColumns(folds), found
 
 
 def kind_of(value: Column) -> Column:
@@ -109,19 +114,6 @@ def kind_of(value: Column) -> Column:
     return F.substring_index(F.substring_index(F.schema_of_variant(value), "(", 1), "<", 1)
 
 
-def as_text(value: Column) -> Column:
-    """Text of a scalar, stripped; empty for objects and arrays."""
-    plain = F.try_variant_get(value, "$", "string")
-    return bind(
-        kind_of(value),
-        lambda kind: F.when(kind == "STRING", strip(plain))
-        .when(kind.isin("OBJECT", "ARRAY", "VOID"), F.lit(""))
-        # a whole number held as a fraction prints without its point
-        .when(kind.isin("DOUBLE", "DECIMAL", "FLOAT"), F.regexp_replace(plain, r"\.0+$", ""))
-        .otherwise(plain),
-    )
-
-
 def as_int(value: Column) -> Column:
     """Numbers are cut, texts must be whole numbers; else NULL."""
 
@@ -311,17 +303,13 @@ def system_map(system: Column) -> Column:
 
 def looks_like_report(top: Members) -> Column:
     """Has a time, notes or a rating."""
-    timed = top.value(*TIME_KEYS).isNotNull()
-    noted = F.lit(False)
-    for key in NOTE_KEYS:
-        value = top.value(key)
-        filled = F.size(F.try_variant_get(value, "$", "map<string,variant>")) > 0
-        noted = noted | F.coalesce(
-            F.when(kind_of(value) == "STRING", as_text(value) != "").when(kind_of(value) == "OBJECT", filled),
-            F.lit(False),
-        )
-    rated = F.lit(False)
-    for key in ("rating", "verdict", "tier"):
-        value = top.value(key)
-        rated = rated | F.coalesce((kind_of(value) == "STRING") & (as_text(value) != ""), F.lit(False))
-    return timed | noted | rated
+    filled = f"WHEN 'STRING' THEN {_text('v')} <> ''"
+    object_filled = "WHEN 'OBJECT' THEN size(try_variant_get(v, '$', 'map<string,variant>')) > 0"
+
+    def any_of(keys: tuple[str, ...], cases: str) -> str:
+        values = ", ".join(f"coalesce({top._lookups((key,))})" for key in keys)
+        return f"exists(array({values}), v -> v IS NOT NULL AND CASE {_kind('v')} {cases} ELSE false END)"
+
+    noted = any_of(NOTE_KEYS, f"{filled} {object_filled}")
+    rated = any_of(("rating", "verdict", "tier"), filled)
+    return top.value(*TIME_KEYS).isNotNull() | F.expr(noted) | F.expr(rated)

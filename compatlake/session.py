@@ -13,6 +13,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # call sites kept for every Column make large expressions slow to build
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
