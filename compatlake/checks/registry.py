@@ -1124,7 +1124,8 @@ def _(data):
 
 
 def _line_inputs(data: Data) -> tuple[DataFrame, DataFrame]:
-    return data.view("lines"), data.view("selected")
+    selected = data.view("selected").repartition(data.spark.sparkContext.defaultParallelism, "line_id")
+    return data.view("lines"), selected
 
 
 @check("d8_env_conflicts", q.query("SELECT line_id, name, conflict FROM clash", "lines", "selected", ctes=q.LINE_CTES))
@@ -1151,7 +1152,8 @@ def _(data):
 
 @check("e1_ranked_reports", _cmp_sql("score, rank", "ranked"))
 def _(data):
-    return ranking.rank_reports(_compared(data, [])).select(*_PAIR, "score", "rank")
+    compared = _compared(data, []).select(*_PAIR, "ts", "score")
+    return ranking.rank_reports(compared).select(*_PAIR, "score", "rank")
 
 
 @check(
@@ -1332,7 +1334,7 @@ def _(data):
     queries = reports.where("notes <> ''").select(_c("notes").alias("query_id")).distinct()
     queries = queries.withColumn("query", F.regexp_replace("query_id", "[^A-Za-z0-9]+", " "))
     # repeated words of a query count as often as they stand there
-    docs = reports.select(_c("k").alias("doc_id"), "title", "notes", "launch_options")
+    docs = _spread(data, reports.select("k", "title", "notes", "launch_options")).withColumnRenamed("k", "doc_id")
     return search.search(docs, search.field_tokens(_c("title"), _c("notes"), _c("launch_options")), queries)
 
 

@@ -107,8 +107,13 @@ def explain(compared: DataFrame) -> DataFrame:
 
 
 def rank_reports(compared: DataFrame) -> DataFrame:
-    """All reports numbered per profile and app: score, then newest, then id."""
-    return number_rows(compared, ["profile_id", "appid"], rank_order())
+    """All reports numbered per profile and app: score, then newest, then id.
+
+    The compared categories are left behind, so that the stored rows stay narrow; what is to be
+    explained has to be explained before.
+    """
+    slim = compared.drop(*NORM_COLUMNS, *[USER + name for name in NORM_COLUMNS])
+    return number_rows(slim, ["profile_id", "appid"], rank_order())
 
 
 def best_reports(compared: DataFrame, limit: int) -> DataFrame:
