@@ -67,14 +67,18 @@ def _without_blocks(body: Column) -> Column:
     return body
 
 
+def _matches(text: Column, regexp: str) -> Column:
+    """All matches of a pattern with two groups, as key and value."""
+    return F.arrays_zip(
+        F.regexp_extract_all(text, F.lit(regexp), F.lit(1)).alias("k"),
+        F.regexp_extract_all(text, F.lit(regexp), F.lit(2)).alias("v"),
+    )
+
+
 def _value(body: Column, key: str, ignore_case: bool = False) -> Column:
     """Last value of a key among the pairs of a body."""
-    pairs = F.arrays_zip(
-        F.regexp_extract_all(body, F.lit(_PAIR), F.lit(1)).alias("k"),
-        F.regexp_extract_all(body, F.lit(_PAIR), F.lit(2)).alias("v"),
-    )
-    of_key = F.filter(pairs, lambda p: (F.lower(p["0"]) if ignore_case else p["0"]) == key)
-    return _plain(F.try_element_at(of_key, F.lit(-1))["1"])
+    of_key = F.filter(_matches(body, _PAIR), lambda p: (F.lower(p["k"]) if ignore_case else p["k"]) == key)
+    return _plain(F.try_element_at(of_key, F.lit(-1))["v"])
 
 
 def installed_games(files: DataFrame) -> DataFrame:
@@ -101,16 +105,14 @@ def library_folders(files: DataFrame) -> DataFrame:
         clean_path(F.regexp_extract("path", r"^(.*)/steamapps/[^/]*$", 1)).alias("root"),
         _body(F.col("text"), "libraryfolders").alias("body"),
     )
-    keys = F.regexp_extract_all("body", F.lit(_BLOCK), F.lit(1))
-    bodies = F.regexp_extract_all("body", F.lit(_BLOCK), F.lit(2))
-    blocks = F.arrays_zip(keys, bodies)
+    blocks = _matches(F.col("body"), _BLOCK)
     sortable = F.array_sort(
         F.transform(
             blocks,
             lambda b: F.struct(
-                F.coalesce(b["0"].try_cast("int"), F.lit(2147483647)).alias("number"),
-                b["0"].alias("key"),
-                F.coalesce(_value(_without_blocks(b["1"]), "path"), F.lit("")).alias("path"),
+                F.coalesce(b["k"].try_cast("int"), F.lit(2147483647)).alias("number"),
+                b["k"].alias("key"),
+                F.coalesce(_value(_without_blocks(b["v"]), "path"), F.lit("")).alias("path"),
             ),
         )
     )
@@ -124,18 +126,15 @@ def launch_options(files: DataFrame) -> DataFrame:
 
     An app's block may hold one level of blocks; the option is taken from the block's own level.
     """
-    blocks = F.arrays_zip(
-        F.regexp_extract_all("text", F.lit(_APP_BLOCK), F.lit(1)),
-        F.regexp_extract_all("text", F.lit(_APP_BLOCK), F.lit(2)),
-    )
+    blocks = _matches(F.col("text"), _APP_BLOCK)
     found = files.where(F.col("path").rlike(r"/userdata/.*/config/localconfig\.vdf$")).select(
         clean_path(F.regexp_extract("path", r"^(.*?)/userdata/", 1)).alias("root"), "path", F.posexplode(blocks).alias("at", "b")
     )
-    own = _without_blocks(F.col("b")["1"])
+    own = _without_blocks(F.col("b")["v"])
     value = F.coalesce(
         present(_value(own, "launchoptions", ignore_case=True)), present(_value(own, "launch options", ignore_case=True))
     )
-    options = found.select("root", "path", "at", F.col("b")["0"].try_cast("int").alias("appid"), value.alias("existing"))
+    options = found.select("root", "path", "at", F.col("b")["k"].try_cast("int").alias("appid"), value.alias("existing"))
     return (
         options.where((F.col("appid") > 0) & F.col("existing").isNotNull())
         .groupBy("root", "appid")
