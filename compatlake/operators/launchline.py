@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import rules, snippets
 from ..functions.text import strip, text_or_empty, words
+from .scaling import stored
 
 NO_COMMAND = "Existing options had no %command%; appended as game arguments."
 CONFLICTING = "Preview includes conflicting environment assignments."
@@ -101,7 +102,7 @@ def compose(lines: DataFrame, selected: DataFrame) -> DataFrame:
     anything is gathered; what is gathered per line is the line itself.
     """
     items = judged(selected)
-    tokens = line_tokens(lines, items)
+    tokens = stored(line_tokens(lines, items))
     section = F.when(F.col("is_env"), F.lit(0)).when(F.col("section") == _PREFIX, F.lit(1)).otherwise(F.lit(3))
     placed = tokens.select("line_id", section.alias("section"), "pos", "at", "token")
     markers = lines.select(
