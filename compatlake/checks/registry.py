@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions import fields, hardware, rules, runtime, scores, snippets
+from ..functions import fields, hardware, runtime, scores, snippets
 from ..functions import text as texts
 from ..operators import launchline, mining, ranking, ratings, scaling, search, tables
 from ..plans import export, recommend
@@ -1124,8 +1124,9 @@ def _(data):
 
 
 def _line_inputs(data: Data) -> tuple[DataFrame, DataFrame]:
+    # stored, since filters would otherwise be worked out over the view's own expressions
     selected = data.view("selected").repartition(data.spark.sparkContext.defaultParallelism, "line_id")
-    return data.view("lines"), selected
+    return data.view("lines"), scaling.stored(selected)
 
 
 @check("d8_env_conflicts", q.query("SELECT line_id, name, conflict FROM clash", "lines", "selected", ctes=q.LINE_CTES))

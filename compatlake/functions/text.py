@@ -96,6 +96,6 @@ def sentence_list(values: Column, limit: int) -> Column:
     return F.array_join(shown, ", ")
 
 
-def upper_first(value: Column, only_if: Callable[[Column], Column] | None = None) -> Column:
+def upper_first(value: Column) -> Column:
     """First letter in upper case, the rest as it is."""
     return F.concat(F.upper(F.substring(value, 1, 1)), F.substring(value, 2, 2147483647))
