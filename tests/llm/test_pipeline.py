@@ -1,0 +1,83 @@
+"""The corpus pipeline, stage by stage against the operators' brute-force versions."""
+
+import regex
+
+import corpus_pipeline
+from compatlake.llm import packing, secret_scan
+
+from . import test_exact_dedup, test_packing, test_secret_scan, test_simhash_dedup
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+def expected(rows):
+    """(doc_id, text) that go into the last stage."""
+    rows = [(i, t) for i, t in rows if t and regex.search(r"\p{L}", t)]
+    kept = {r[0] for r in test_exact_dedup.brute(rows) if r[3]}
+    rows = [r for r in rows if r[0] in kept]
+    kept = {i for i, _, c in test_simhash_dedup.brute(rows) if i == c}
+    rows = [r for r in rows if r[0] in kept]
+    out = []
+    for i, text in rows:
+        clean, at = "", 0
+        for start, _, end in test_secret_scan.brute(text)[1]:
+            if start >= at:
+                clean += text[at:start] + "[SECRET]"
+            at = max(at, end)
+        out.append((i, clean + text[at:]))
+    return out
+
+
+def test_stages(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    columns = docs.columns
+    first = [(r.doc_id, r.text) for r in docs.collect()]
+    sources = {r.doc_id: r.source for r in docs.collect()}
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, FOLDER)
+        assert docs.columns == columns
+    got = [(r.doc_id, r.text) for r in docs.collect()]
+    want = expected(first)
+    assert sorted(got) == sorted(want)
+    assert 0 < len(want) < len(first)
+    pieces = corpus_pipeline.run(spark, FOLDER).collect()
+    clusters = {t: n for n, t in enumerate(sorted({test_exact_dedup.norm(t) for _, t in want}))}
+    rows = {i: (sources[i], clusters[test_exact_dedup.norm(t)], len(t.split())) for i, t in want}
+    test_packing.rules(rows, pieces, packing.CAPACITY)
+
+
+def test_odd_rows(spark):
+    shape = "doc_id long, text string, lang string, source string, n_chars long, score double, bin string"
+    rows = [
+        (1, None, "en", "a", 0, 1.0, "x"),
+        (2, "", None, None, None, None, None),
+        (None, "the cat sat on the mat", "en", "a", 1, 1.0, "x"),
+        (None, "the cat sat on the mat", "en", "a", 1, 1.0, "x"),
+        (3, "token=abcdef99 here", "en", "a", 1, 1.0, "x"),
+        (3, "token=abcdef99 here", "en", "a", 1, 1.0, "x"),
+        (4, "word " * 30_000, None, "b", 1, 1.0, "x"),
+    ]
+    docs = spark.createDataFrame(rows, shape)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, FOLDER)
+    got = sorted([(r.doc_id, r.text) for r in docs.collect()], key=str)
+    assert got == [(3, "[SECRET] here"), (4, "word " * 30_000), (None, "the cat sat on the mat")]
+    assert {r.doc_id for r in corpus_pipeline.packed(spark, docs, FOLDER).collect()} == {3, 4, None}
+
+
+def test_no_rows(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, FOLDER)
+    assert docs.collect() == []
+
+
+def test_names():
+    assert [name for name, _ in corpus_pipeline.STAGES] == [
+        "language_id",
+        "exact_dedup",
+        "near_dedup",
+        "secret_scan",
+        "best_fit_packing",
+    ]
+    assert secret_scan.KINDS[:3] == ("assign", "access", "hex")
