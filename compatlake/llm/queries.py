@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, packing, secret_scan, simhash_dedup, substring_dedup
+from . import bpe, exact_dedup, language_id, packing, secret_scan, simhash_dedup, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": substring_dedup.query,
     "op2_simhash_dedup": simhash_dedup.query,
+    "op3_bpe": bpe.query,
     "op5_secret_scan": secret_scan.query,
     "op7_exact_dedup": exact_dedup.query,
     "op9_language_id": language_id.query,
