@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, language_id, packing, secret_scan, simhash_dedup, substring_dedup
+from . import bpe, exact_dedup, fingerprints, language_id, packing, secret_scan, simhash_dedup, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": substring_dedup.query,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": bpe.query,
     "op5_secret_scan": secret_scan.query,
     "op7_exact_dedup": exact_dedup.query,
+    "op8_fingerprints": fingerprints.query,
     "op9_language_id": language_id.query,
     "op10_best_fit_packing": packing.query,
 }
