@@ -1,7 +1,6 @@
 """Document fingerprints: quartile digests of hashed byte triplets, and a bounded score of their difference.
 
-The bytes of a text give triplets (each byte with two of the four before it, in three combinations), which are
-hashed into 128 buckets. The digest holds two bits for each bucket, the quartile of its count among all
+The bytes of a text give triplets (each byte with the two before it), which are hashed into 256 buckets. The digest holds two bits for each bucket, the quartile of its count among all
 buckets, and a head with the text's length on a logarithmic scale. Two digests differ by the sum of their quartile
 steps (with extra weight for opposite quartiles) and of their length steps, cut at a bound. Likeness is 1 for equal
 digests and 0 at the bound.
@@ -28,16 +27,16 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-BUCKETS = 128
+BUCKETS = 256
 #: Difference at which two texts have nothing in common.
-MOST = 160
+MOST = 512
 STEP_BYTES = 1 << 18
 #: Rows of a range of ids.
 RANGE_ROWS = 4096
 
 _FACTORS = tuple(np.uint32(f) for f in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D))
-#: Distances back of the two other bytes of a triplet.
-_SHAPES = ((1, 2), (1, 3), (2, 4))
+#: Distances back of the two other bytes, for each kind of triplet that counts.
+_SHAPES = ((1, 2),)
 
 
 def counts(data: np.ndarray) -> np.ndarray:
