@@ -6,13 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, fingerprints, language_id, packing, secret_scan, simhash_dedup, substring_dedup
+from . import (
+    bpe,
+    chat_format,
+    exact_dedup,
+    fingerprints,
+    language_id,
+    packing,
+    secret_scan,
+    simhash_dedup,
+    substring_dedup,
+    url_filter,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": substring_dedup.query,
     "op2_simhash_dedup": simhash_dedup.query,
     "op3_bpe": bpe.query,
+    "op4_chat_format": chat_format.query,
     "op5_secret_scan": secret_scan.query,
+    "op6_url_filter": url_filter.query,
     "op7_exact_dedup": exact_dedup.query,
     "op8_fingerprints": fingerprints.query,
     "op9_language_id": language_id.query,
@@ -20,5 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op4_chat_format": chat_format.ORACLE,
+    "op6_url_filter": url_filter.ORACLE,
     "op7_exact_dedup": exact_dedup.ORACLE,
 }
