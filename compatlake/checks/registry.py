@@ -10,14 +10,12 @@ from ..functions import fields, hardware, runtime, scores, snippets
 from ..functions import text as texts
 from ..operators import launchline, mining, ranking, ratings, scaling, search, tables
 from ..plans import export, recommend
-from ..session import SETTINGS
 from ..sources import listing, manifests, records
 from . import sql as q
 from .adapter import Data, now
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
-_SESSION = {key: SETTINGS[key] for key in ("spark.sql.session.timeZone", "spark.sql.adaptive.enabled")}
 
 
 def check(name: str, oracle: str | None = None):
@@ -25,8 +23,6 @@ def check(name: str, oracle: str | None = None):
 
     def register(build: Callable[[Data], DataFrame]) -> Callable[[Data], DataFrame]:
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            for key, value in _SESSION.items():
-                spark.conf.set(key, value)
             return build(Data(spark, folder))
 
         QUERIES[name] = run
@@ -828,12 +824,14 @@ def _(data):
     return ranking.explain(_compared(data)).select(*_PAIR, _joined("reasons"))
 
 
-def _mined(data: Data) -> DataFrame:
-    return mining.mined(data.reports(spread=True), now())
+def _machines(data: Data) -> DataFrame:
+    return ranking.asked(data.view("requests"), data.profiles())
 
 
 def _counted(data: Data) -> DataFrame:
-    return mining.score_candidates(_mined(data), data.view("requests"), data.profiles())
+    machines = _machines(data)
+    tallied = mining.mined(data.reports(spread=True), now(), machines)
+    return ranking.for_requests(mining.score_candidates(tallied, machines), machines)
 
 
 def _sugg_sql(select: str, source: str) -> str:
@@ -1101,13 +1099,15 @@ _SUGG = [
 ]
 
 
-def _suggestions(data: Data) -> DataFrame:
-    return mining.suggestions(data.reports(spread=True), data.view("requests"), data.profiles(), now())
+def _suggested(data: Data, use: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What ``use`` makes of the suggestions of every app and machine, for every request."""
+    machines = _machines(data)
+    return ranking.for_requests(use(scaling.stored(mining.suggestions(data.reports(spread=True), machines, now()))), machines)
 
 
 @check("d6_merged_suggestions", _sugg_sql(", ".join(_SUGG), "merged"))
 def _(data):
-    return _suggestions(data).select(*_SUGG)
+    return _suggested(data, lambda merged: merged).select(*_SUGG)
 
 
 _AGES = (
@@ -1124,9 +1124,8 @@ def _(data):
 
 
 def _line_inputs(data: Data) -> tuple[DataFrame, DataFrame]:
-    # stored, since filters would otherwise be worked out over the view's own expressions
     selected = data.view("selected").repartition(data.spark.sparkContext.defaultParallelism, "line_id")
-    return data.view("lines"), scaling.stored(selected)
+    return data.view("lines"), selected
 
 
 @check("d8_env_conflicts", q.query("SELECT line_id, name, conflict FROM clash", "lines", "selected", ctes=q.LINE_CTES))
@@ -1153,8 +1152,10 @@ def _(data):
 
 @check("e1_ranked_reports", _cmp_sql("score, rank", "ranked"))
 def _(data):
-    compared = _compared(data, []).select(*_PAIR, "ts", "score")
-    return ranking.rank_reports(compared).select(*_PAIR, "score", "rank")
+    machines = _machines(data)
+    rows = ranking.scored(data.reports(spread=True), now(), [])
+    ranked = ranking.rank_reports(ranking.compare_machines(rows, machines)).select("appid", "machine", "source_report_id", "score", "rank")
+    return ranking.for_requests(ranked, machines).select(*_PAIR, "score", "rank")
 
 
 @check(
@@ -1189,12 +1190,12 @@ def _(data):
 
 @check("e6_ranked_suggestions", _sugg_sql("profile_id, appid, id, confidence, occurrences, rank", "suggested"))
 def _(data):
-    return mining.rank_suggestions(_suggestions(data)).select("profile_id", "appid", "id", "confidence", "occurrences", "rank")
+    return _suggested(data, mining.rank_suggestions).select("profile_id", "appid", "id", "confidence", "occurrences", "rank")
 
 
 @check("e7_shown_suggestions", _sugg_sql("profile_id, appid, id, snippet, label, rank", "shown"))
 def _(data):
-    return mining.shown_suggestions(_suggestions(data)).select("profile_id", "appid", "id", "snippet", "label", "rank")
+    return _suggested(data, mining.shown_suggestions).select("profile_id", "appid", "id", "snippet", "label", "rank")
 
 
 @check(
@@ -1206,10 +1207,9 @@ def _(data):
     ),
 )
 def _(data):
-    compared = ranking.compare(
-        recommend.citable(data.reports(spread=True)), data.view("requests"), data.profiles(), now(), ["source_id", "rating", "snippet"]
-    )
-    return recommend.citations(compared).select(
+    machines = _machines(data)
+    rows = ranking.scored(recommend.citable(data.reports(spread=True)), now(), ["rating", "snippet"])
+    return ranking.for_requests(recommend.citations(rows, machines), machines).select(
         "profile_id", "appid", "rank", "source_id", "source_report_id", _stamp("ts"), "snippet"
     )
 
@@ -1224,9 +1224,10 @@ def _(data):
     ),
 )
 def _(data):
-    found = manifests.coverage(data.view("inventory"), data.reports()).withColumn("_all", F.lit(0))
+    found = manifests.coverage(data.view("inventory"), data.reports())
     order = [*manifests.coverage_order(), _c("item").asc()]
-    return scaling.number_rows(found, ["_all"], order).select("appid", "item", "name", "rank")
+    cells = [(_c("has_reports"), True), (F.substring(F.lower("name"), 1, 4), False)]
+    return scaling.number_rows(found, [], order, cells).select("appid", "item", "name", "rank")
 
 
 # --- F, H: candidates ---------------------------------------------------------------------------
@@ -1355,7 +1356,7 @@ def _(data):
 
 @check("i2_suggestions_of_all_requests", _sugg_sql("profile_id, appid, id, snippet, occurrences, confidence, rank", "suggested"))
 def _(data):
-    ranked = mining.rank_suggestions(_suggestions(data))
+    ranked = recommend.suggested(data.reports(spread=True), data.view("requests"), data.profiles(), now())
     return ranked.select("profile_id", "appid", "id", "snippet", "occurrences", "confidence", "rank")
 
 
@@ -1399,7 +1400,7 @@ def _(data):
         "summary",
         _joined("warnings"),
         _ids("citations", "source_report_id").alias("cited"),
-        _ids("suggestions", "id").alias("suggested"),
+        _ids("shown_suggestions", "id").alias("suggested"),
     )
 
 

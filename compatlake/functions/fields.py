@@ -141,34 +141,44 @@ def is_free_text(value: Column) -> Column:
     return F.coalesce((F.length(text) > 2) & ~F.lower(text).isin(*FORM_ANSWERS), F.lit(False))
 
 
-def _free_texts(value: Column, depth: int) -> Column:
-    """Free texts in a value: its own, those of members under their keys, those of items."""
-    none = F.array().cast("array<string>")
-    text = strip(F.try_variant_get(value, "$", "string"))
-    own = bind(text, lambda t: F.when(is_free_text(t), F.array(t)))
-
-    def below(kind: Column) -> Column:
-        if depth == 0:
-            return F.when(kind == "STRING", own)
-        named = F.flatten(
-            F.transform(
-                F.map_entries(F.try_variant_get(value, "$", "map<string,variant>")),
-                lambda e: F.transform(
-                    _free_texts(e["value"], depth - 1), lambda t: F.concat(e["key"], F.lit(": "), t)
-                ),
-            )
-        )
-        items = F.flatten(
-            F.transform(F.try_variant_get(value, "$", "array<variant>"), lambda v: _free_texts(v, depth - 1))
-        )
-        return F.when(kind == "STRING", own).when(kind == "OBJECT", named).when(kind == "ARRAY", items)
+#: Tokens of a JSON text: a string with the colon of a key, a bracket, or anything else. No part of it backtracks.
+_JSON_TOKEN = r'"(?:[^"\\]++|\\.)*+"(?:\s*+:)?|[\[\]{}]|[^\s"\[\]{}:,]++'
 
-    return F.coalesce(F.when(value.isNotNull(), bind(kind_of(value), below)), none)
+
+def _unquoted(token: Column) -> Column:
+    inner = F.substring(token, F.lit(2), F.length(token) - 2)
+    return F.when(token.contains("\\"), F.get_json_object(token, "$")).otherwise(inner)
 
 
 def note_texts(value: Column) -> Column:
-    """Free texts of a note value, up to two levels of nesting."""
-    return bind(value, lambda v: _free_texts(v, 2))
+    """Free texts in a value of any depth: its own, those of members under their keys, those of items.
+
+    One pass over the tokens of its JSON carries what stands before a text: the keys of all open objects.
+    """
+    texts = F.array().cast("array<string>")
+    start = F.struct(F.array(F.lit("")).alias("open"), F.lit("").alias("key"), texts.alias("texts"))
+
+    def step(state: Column, token: Column) -> Column:
+        before, key = state["open"], state["key"]
+        under = F.concat(F.element_at(before, -1), key)
+        names = token.endswith(":")
+        opens, closes = token.isin("{", "["), token.isin("}", "]")
+        text = F.when(token.startswith('"') & ~names, strip(_unquoted(token)))
+        return F.struct(
+            F.when(opens, F.array_append(before, under))
+            .when(closes, F.slice(before, 1, F.size(before) - 1))
+            .otherwise(before)
+            .alias("open"),
+            F.when(names, F.concat(_unquoted(F.regexp_replace(token, r"\s*:$", "")), F.lit(": ")))
+            .otherwise(F.lit(""))
+            .alias("key"),
+            F.when(is_free_text(text), F.array_append(state["texts"], F.concat(under, text)))
+            .otherwise(state["texts"])
+            .alias("texts"),
+        )
+
+    tokens = F.regexp_extract_all(F.to_json(value), F.lit(_JSON_TOKEN), F.lit(0))
+    return F.coalesce(F.aggregate(tokens, start, step, lambda state: state["texts"]), texts)
 
 
 def report_time(value: Column) -> Column:

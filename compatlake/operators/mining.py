@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import scores, snippets
 from ..functions.rules import COMMAND
 from ..schemas import NORM_COLUMNS
-from .ranking import asked, similarity_columns
-from .scaling import number_rows, sliced_join, stored, top_rows
+from .ranking import alike
+from .scaling import number_rows, stored, top_rows
 
 SHOWN = 15
 
@@ -53,38 +53,31 @@ def tally(candidates: DataFrame) -> DataFrame:
     return counted.withColumn("hardware", F.when(F.col("_whole") == 0, F.col("hardware"))).drop("_whole")
 
 
-def mined(reports: DataFrame, now: Column) -> DataFrame:
-    """Tallied candidates with metadata, stored once for all that is made of them."""
+def mined(reports: DataFrame, now: Column, machines: DataFrame | None = None) -> DataFrame:
+    """Tallied candidates with metadata, stored for all that is made of them; of asked-for apps only, if ``machines`` says which."""
+    if machines is not None:
+        reports = reports.join(machines.select("appid").distinct(), "appid", "left_semi")
     tallied = tally(mine(reports, now))
     whole = F.when(F.col("hardware").isNull(), F.col("canonical"))
     return stored(snippets.with_meta(tallied, whole))
 
 
-def score_candidates(tallied: DataFrame, requests: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Tallied candidates per asking machine, with the best similarity among their reporters."""
-    whole = F.col("hardware").isNull()
-    rows = tallied.select(
-        "appid",
-        "kind",
-        "canonical",
-        whole.alias("_whole"),
-        "occurrences",
-        "recency",
-        *[F.col("hardware")[name].alias(name) for name in NORM_COLUMNS],
-    )
-    joined = sliced_join(rows, asked(requests, profiles), "appid", ["kind", "canonical", *NORM_COLUMNS])
-    whole = F.col("_whole")
-    similar = F.when(~whole, scores.similarity(*similarity_columns()))
-    best = joined.groupBy("profile_id", "appid", "kind", "canonical").agg(
-        F.max(similar).alias("similarity"),
-        F.max(F.when(whole, F.col("occurrences"))).alias("occurrences"),
-        F.max(F.when(whole, F.col("recency"))).alias("recency"),
-    )
-    return best.withColumns(
-        {
-            "confidence": scores.suggestion_confidence(F.col("occurrences"), F.col("similarity"), F.col("recency")),
-            "id": snippets.suggestion_id(F.col("kind"), F.col("canonical")),
-        }
+def score_candidates(tallied: DataFrame, machines: DataFrame) -> DataFrame:
+    """Tallied candidates per app and asking machine, with the best similarity among their reporters."""
+    kinds = tallied.where(F.col("hardware").isNotNull()).select("appid", "hardware", "kind", "canonical")
+    pairs = alike(kinds.select("appid", "hardware").distinct(), machines)
+    keys = ["appid", "kind", "canonical"]
+    best = kinds.join(pairs, ["appid", "hardware"]).groupBy("machine", *keys)
+    whole = tallied.where(F.col("hardware").isNull()).select(*keys, "occurrences", "recency")
+    return (
+        best.agg(F.max("similarity").alias("similarity"))
+        .join(whole, keys)
+        .withColumns(
+            {
+                "confidence": scores.suggestion_confidence(F.col("occurrences"), F.col("similarity"), F.col("recency")),
+                "id": snippets.suggestion_id(F.col("kind"), F.col("canonical")),
+            }
+        )
     )
 
 
@@ -200,7 +193,7 @@ def merge(scored: DataFrame, totals: DataFrame) -> DataFrame:
         ["appid", "kind", "canonical"],
     )
     first = F.struct("id", "kind", "label", "description", "category", "confidence")
-    merged = labelled.groupBy("profile_id", "appid", "key").agg(
+    merged = labelled.groupBy("machine", "appid", "key").agg(
         F.min_by(first, F.struct("kind", "canonical")).alias("first"),
         F.count(F.lit(1)).alias("members"),
         F.sum("occurrences").alias("occurrences"),
@@ -214,7 +207,7 @@ def merge(scored: DataFrame, totals: DataFrame) -> DataFrame:
         .otherwise(own)
     )
     return merged.join(fold_snippets(totals), ["appid", "key"]).select(
-        "profile_id",
+        "machine",
         "appid",
         F.col("first.id").alias("id"),
         F.col("first.kind").alias("kind"),
@@ -235,10 +228,10 @@ def labelled_totals(tallied: DataFrame) -> DataFrame:
     return totals.where(worth_showing()).withColumn("key", merge_key())
 
 
-def suggestions(reports: DataFrame, requests: DataFrame, profiles: DataFrame, now: Column) -> DataFrame:
-    """Merged suggestions of every request. ``reports`` carry the hardware categories."""
-    tallied = mined(reports, now)
-    return merge(score_candidates(tallied, requests, profiles), labelled_totals(tallied))
+def suggestions(reports: DataFrame, machines: DataFrame, now: Column) -> DataFrame:
+    """Merged suggestions of every app and asking machine. ``reports`` carry the hardware categories."""
+    tallied = mined(reports, now, machines)
+    return merge(score_candidates(tallied, machines), labelled_totals(tallied))
 
 
 def suggestion_order() -> list[Column]:
@@ -252,11 +245,12 @@ def suggestion_order() -> list[Column]:
 
 
 def rank_suggestions(merged: DataFrame) -> DataFrame:
-    return number_rows(merged, ["profile_id", "appid"], suggestion_order())
+    cells = [(scores.confidence_order(F.col("confidence")), True), (F.col("occurrences"), True)]
+    return number_rows(merged, ["appid", "machine"], suggestion_order(), cells)
 
 
 def best_suggestions(merged: DataFrame, limit: int) -> DataFrame:
-    return top_rows(merged, ["profile_id", "appid"], suggestion_order(), limit)
+    return top_rows(merged, ["appid", "machine"], suggestion_order(), limit)
 
 
 def shown_suggestions(merged: DataFrame, limit: int = SHOWN) -> DataFrame:

@@ -10,9 +10,6 @@ from ..functions.text import text_or_empty
 from ..schemas import NORM_COLUMNS
 from .scaling import number_rows, sliced_join, top_rows
 
-USER = "user_"
-ORDER_COLUMNS = ("score", "ts", "source_report_id")
-
 
 def with_hardware(df: DataFrame) -> DataFrame:
     """Add the nine comparison categories to reports or machines."""
@@ -36,16 +33,15 @@ def with_hardware(df: DataFrame) -> DataFrame:
 
 
 def asked(requests: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Requests ``(profile_id, appid)`` with the comparable categories of the machine."""
-    machine = profiles.select(
-        "profile_id", *[scores.comparable(F.col(name)).alias(USER + name) for name in NORM_COLUMNS]
-    )
-    return requests.select("profile_id", "appid").join(machine, "profile_id")
+    """Requests ``(profile_id, appid)`` with the comparable categories of the machine, as one value."""
+    machine = F.struct(*[scores.comparable(F.col(name)).alias(name) for name in NORM_COLUMNS])
+    machines = profiles.select("profile_id", machine.alias("machine"))
+    return requests.select("profile_id", "appid").join(machines, "profile_id")
 
 
 def similarity_columns() -> tuple[dict[str, Column], dict[str, Column]]:
     """User and report sides of a compared row."""
-    return {n: F.col(USER + n) for n in NORM_COLUMNS}, {n: F.col(n) for n in NORM_COLUMNS}
+    return {n: F.col("machine")[n] for n in NORM_COLUMNS}, {n: F.col("hardware")[n] for n in NORM_COLUMNS}
 
 
 def with_scores(reports: DataFrame, now: Column) -> DataFrame:
@@ -60,29 +56,53 @@ def with_scores(reports: DataFrame, now: Column) -> DataFrame:
     )
 
 
-def compare(reports: DataFrame, requests: DataFrame, profiles: DataFrame, now: Column, keep: list[str]) -> DataFrame:
-    """Each asked-for report with its similarity to the asking machine and its score.
+def scored(reports: DataFrame, now: Column, keep: list[str]) -> DataFrame:
+    """Reports with their own scores and comparable hardware; columns not in ``keep`` are left behind."""
+    hardware = F.struct(*[scores.comparable(F.col(name)).alias(name) for name in NORM_COLUMNS])
+    columns = ["appid", "source_id", "source_report_id", "position", "ts", "recency", "age_days", "freshness", "quality"]
+    return with_scores(reports, now).select(*dict.fromkeys([*columns, *keep]), hardware.alias("hardware"))
+
+
+def alike(tuples: DataFrame, machines: DataFrame) -> DataFrame:
+    """Similarity of every machine that asks for an app to every kind of hardware ``(appid, hardware)`` reported on it."""
+    machines = machines.select("appid", "machine").distinct()
+    joined = sliced_join(tuples, machines, "appid", ["hardware"])
+    return joined.withColumn("similarity", scores.similarity(*similarity_columns()))
 
-    Columns of a report not in ``keep`` are used before the join and left behind.
+
+def compare_machines(rows: DataFrame, machines: DataFrame) -> DataFrame:
+    """Each scored report of an asked-for app with its similarity to each distinct asking machine and its score.
+
+    Similarity is worked out per kind of hardware, of which an app has few, not per report.
     """
-    scored = with_scores(reports, now).select(
-        "appid",
-        "source_report_id",
-        "ts",
-        "recency",
-        "age_days",
-        "freshness",
-        "quality",
-        *keep,
-        *[scores.comparable(F.col(name)).alias(name) for name in NORM_COLUMNS],
-    )
-    joined = sliced_join(scored, asked(requests, profiles), "appid", ["source_report_id", "ts"])
-    similar = joined.withColumn("similarity", scores.similarity(*similarity_columns()))
-    return similar.withColumn("score", scores.rank_score(F.col("recency"), F.col("similarity"), F.col("quality")))
+    pairs = alike(rows.select("appid", "hardware").distinct(), machines)
+    score = scores.rank_score(F.col("recency"), F.col("similarity"), F.col("quality"))
+    return rows.join(pairs, ["appid", "hardware"]).withColumn("score", score)
+
+
+def for_requests(rows: DataFrame, machines: DataFrame) -> DataFrame:
+    """What was worked out per app and machine, for every request; ``machines`` comes from ``asked``."""
+    return rows.join(machines, ["appid", "machine"])
+
+
+def compare(reports: DataFrame, requests: DataFrame, profiles: DataFrame, now: Column, keep: list[str]) -> DataFrame:
+    """Each asked-for report with its similarity to the asking machine and its score, for every request."""
+    machines = asked(requests, profiles)
+    return for_requests(compare_machines(scored(reports, now, keep), machines), machines)
 
 
 def rank_order() -> list[Column]:
-    return [F.col("score").desc(), F.col("ts").desc(), F.col("source_report_id").asc()]
+    return [
+        F.col("score").desc(),
+        F.col("ts").desc(),
+        F.col("source_report_id").asc(),
+        F.col("source_id").asc(),
+        F.col("position").asc(),
+    ]
+
+
+def _day(ts: str = "ts") -> Column:
+    return F.floor(F.unix_seconds(ts) / 86400)
 
 
 def explain(compared: DataFrame) -> DataFrame:
@@ -107,22 +127,25 @@ def explain(compared: DataFrame) -> DataFrame:
 
 
 def rank_reports(compared: DataFrame) -> DataFrame:
-    """All reports numbered per profile and app: score, then newest, then id.
+    """All reports numbered per app and machine: score, then newest, then id."""
+    return number_rows(compared, ["appid", "machine"], rank_order(), [(F.col("score"), True), (_day(), True)])
 
-    The compared categories are left behind, so that the stored rows stay narrow; what is to be
-    explained has to be explained before.
-    """
-    slim = compared.drop(*NORM_COLUMNS, *[USER + name for name in NORM_COLUMNS])
-    return number_rows(slim, ["profile_id", "appid"], rank_order())
 
+def best_reports(rows: DataFrame, machines: DataFrame, limit: int) -> DataFrame:
+    """The best scored reports per app and machine.
 
-def best_reports(compared: DataFrame, limit: int) -> DataFrame:
-    return top_rows(compared, ["profile_id", "appid"], rank_order(), limit)
+    Reports of one hardware, recency and quality score alike for any machine, so the first ``limit`` of each such cell
+    are enough; only these meet the machines.
+    """
+    cell = ["appid", "hardware", "recency", "quality"]
+    few = top_rows(rows, cell, rank_order()[1:], limit, "_rank").drop("_rank")
+    return top_rows(compare_machines(few, machines), ["appid", "machine"], rank_order(), limit)
 
 
 def newest_first(reports: DataFrame) -> DataFrame:
     """Reports numbered per app, newest first, larger id first among equals."""
-    return number_rows(reports, ["appid"], [F.col("ts").desc(), F.col("source_report_id").desc()])
+    ties = [F.col(column).desc() for column in ("source_id", "position") if column in reports.columns]
+    return number_rows(reports, ["appid"], [F.col("ts").desc(), F.col("source_report_id").desc(), *ties], [(_day(), True)])
 
 
 def freshness_tally(reports: DataFrame, now: Column) -> DataFrame:

@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import uuid
 
-from ..session import ensure_checkpoint_dir
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: Least number of pieces a key of the large side is cut into before it meets the small side.
 SLICES = 16
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Computed once and kept in the checkpoint folder, so that several readers share it safely."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """Worked out once and written where all executors see it, for results that several branches read.
+
+    The folder is the one the session names in ``spark.checkpoint.dir``, else one in the warehouse; never one of a
+    single machine. Its owner clears it; nothing but the returned rows depends on it.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    folder = folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
+    path = f"{folder.rstrip('/')}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def sliced_join(large: DataFrame, small: DataFrame, key: str, spread: list[str]) -> DataFrame:
@@ -29,30 +37,26 @@ def sliced_join(large: DataFrame, small: DataFrame, key: str, spread: list[str])
     return cut.join(copies, [key, "_slice"]).drop("_slice")
 
 
-def number_rows(df: DataFrame, group: list[str], order: list[Column], name: str = "rank") -> DataFrame:
-    """Row numbers 1, 2, ... within each group, without ever putting a group into one task.
+def number_rows(
+    df: DataFrame, group: list[str], order: list[Column], cells: list[tuple[Column, bool]] = (), name: str = "rank"
+) -> DataFrame:
+    """Row numbers 1, 2, ... within each group, a large group being numbered by many tasks.
 
-    Rows are range-partitioned by group and order, which cuts large groups, sorted and counted
-    through within each partition; a row's number is its place in its partition, less the place
-    where its group starts there, plus what earlier partitions hold of the group. The placement is
-    stored first, so that places and sizes are taken from the same rows. ``order`` must tell all
-    rows apart.
+    ``cells`` are coarse values (and whether they fall) by which ``order`` sorts first, such as a score and a day.
+    Rows are counted per group and cell; a row's number is its place in its cell after the sizes of the cells
+    before. Only these counts of a group meet in one task. Groups and cells may be NULL. ``order`` must tell all rows
+    apart.
     """
-    keys = [*[F.col(column).asc() for column in group], *order]
-    sorted_rows = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    placed = stored(sorted_rows.withColumn("_at", F.monotonically_increasing_id()))
-    placed = placed.withColumn("_piece", F.shiftright("_at", 33))
-    pieces = placed.groupBy(*group, "_piece").agg(
-        F.min("_at").alias("_start"), F.count(F.lit(1)).alias("_size")
-    )
-    before = Window.partitionBy(*group).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    earlier = F.coalesce(F.sum("_size").over(before), F.lit(0))
-    shifts = pieces.select(*group, "_piece", (earlier - F.col("_start") + 1).alias("_shift"))
-    return (
-        placed.join(shifts, [*group, "_piece"])
-        .withColumn(name, F.col("_at") + F.col("_shift"))
-        .drop("_piece", "_at", "_shift")
-    )
+    own = [f"_cell_{n}" for n in range(len(cells))]
+    keyed = df.withColumns({column: value for column, (value, _) in zip(own, cells)})
+    keyed = keyed.withColumn("_cell", F.struct(*group, *own)).drop(*own)
+    sizes = keyed.groupBy("_cell").agg(F.count(F.lit(1)).alias("_size"))
+    places = [F.col("_cell")[c].desc() if falls else F.col("_cell")[c].asc() for c, (_, falls) in zip(own, cells)]
+    earlier = Window.partitionBy(*[F.col("_cell")[c] for c in group]).orderBy(*places, F.lit(1))
+    earlier = F.sum("_size").over(earlier.rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select("_cell", F.coalesce(earlier, F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_cell").orderBy(*order))
+    return keyed.withColumn(name, within).join(sizes, "_cell").withColumn(name, F.col(name) + F.col("_before")).drop("_cell", "_before")
 
 
 def top_rows(df: DataFrame, group: list[str], order: list[Column], limit: int, name: str = "rank") -> DataFrame:

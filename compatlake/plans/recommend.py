@@ -13,10 +13,10 @@ from ..operators.scaling import stored
 CITATIONS, CITED_CHARACTERS = 5, 180
 
 
-def citations(compared: DataFrame, limit: int = CITATIONS) -> DataFrame:
-    """The best reports of each request, as they are cited."""
-    return ranking.best_reports(compared, limit).select(
-        "profile_id",
+def citations(rows: DataFrame, machines: DataFrame, limit: int = CITATIONS) -> DataFrame:
+    """The best reports of each app and asking machine, as they are cited."""
+    return ranking.best_reports(rows, machines, limit).select(
+        "machine",
         "appid",
         "rank",
         "source_id",
@@ -61,56 +61,63 @@ def summary(label: str) -> Column:
     )
 
 
+def suggested(reports: DataFrame, requests: DataFrame, profiles: DataFrame, now: Column) -> DataFrame:
+    """All ranked suggestions of every request, as rows beside its recommendation."""
+    machines = ranking.asked(requests, profiles)
+    return ranking.for_requests(mining.rank_suggestions(stored(mining.suggestions(reports, machines, now))), machines)
+
+
 def recommendations(
     games: DataFrame, reports: DataFrame, requests: DataFrame, profiles: DataFrame, now: Column, label: str = "community"
 ) -> DataFrame:
     """Summary, warnings, citations and shown suggestions of every request.
 
-    What is gathered per request is bounded: five citations and fifteen suggestions. All ranked
-    reports and suggestions stay tables of their own (``rank_reports``, ``rank_suggestions``).
+    What is gathered per request is bounded: five citations and the fifteen suggestions that are shown, named so.
+    All suggestions (``suggested``) and ranked reports (``rank_reports``) are rows of tables beside this one.
+    Everything is worked out once per app and distinct machine, and handed to the requests at the end.
     """
-    request = ["profile_id", "appid"]
-    compared = ranking.compare(
-        citable(reports), requests, profiles, now, keep=["source_id", "rating", "snippet"]
-    )
-    cited = citations(compared)
+    machines = ranking.asked(requests, profiles)
+    key = ["appid", "machine"]
+    wanted = citable(reports).join(machines.select("appid").distinct(), "appid", "left_semi")
+    cited = citations(ranking.scored(wanted, now, ["rating", "snippet"]), machines)
     cite = F.struct("rank", "source_id", "source_report_id", "ts", "snippet")
     top = lambda column: F.max(F.when(F.col("rank") == 1, F.col(column))).alias(f"top_{column}")
-    evidence = cited.groupBy(*request).agg(
+    evidence = cited.groupBy(*key).agg(
         F.array_sort(F.collect_list(cite)).alias("citations"),
         top("ts"),
         top("rating"),
         top("freshness"),
         top("similarity"),
     )
-    merged = stored(mining.suggestions(reports, requests, profiles, now))
+    merged = stored(mining.suggestions(reports, machines, now))
     best = mining.best_suggestions(merged, 1).select(
-        *request,
+        *key,
         F.col("kind").alias("best_kind"),
         F.col("snippet").alias("best_snippet"),
         F.col("confidence").alias("best_confidence"),
     )
     listed = F.struct("rank", "id", "kind", "snippet", "label", "category", "confidence", "occurrences")
-    shown = mining.shown_suggestions(merged).groupBy(*request).agg(
-        F.array_sort(F.collect_list(listed)).alias("suggestions")
+    shown = mining.shown_suggestions(merged).groupBy(*key).agg(
+        F.array_sort(F.collect_list(listed)).alias("shown_suggestions")
     )
     ages = ranking.age_warnings(reports, now)
     full = (
-        requests.join(games.select("appid", "name"), "appid", "left")
+        machines.join(games.select("appid", "name"), "appid", "left")
         .join(ages, "appid", "left")
-        .join(evidence, request, "left")
-        .join(best, request, "left")
-        .join(shown, request, "left")
+        .join(evidence, key, "left")
+        .join(best, key, "left")
+        .join(shown, key, "left")
         .withColumn("reports", F.coalesce("reports", F.lit(0)))
     )
     return full.select(
-        *request,
+        "profile_id",
+        "appid",
         "name",
         "reports",
         summary(label).alias("summary"),
         F.coalesce("warnings", F.array().cast("array<string>")).alias("warnings"),
         "citations",
-        "suggestions",
+        "shown_suggestions",
         F.col("top_similarity").alias("best_similarity"),
         F.lit("rules").alias("generated_by"),
     )
@@ -142,6 +149,6 @@ def dashboard(
         "reports",
         "summary",
         "warnings",
-        F.size(F.coalesce("suggestions", F.array())).alias("shown"),
+        F.size(F.coalesce("shown_suggestions", F.array())).alias("shown"),
         scores.similarity_label(F.coalesce("best_similarity", F.lit(0.0))).alias("hardware"),
     )

@@ -1,9 +1,7 @@
-"""Session settings and the checkpoint folder."""
+"""Session settings."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 #: Settings the jobs rely on; cluster sizing stays with the cluster's own defaults.
@@ -33,13 +31,3 @@ def local_session(app: str = "compatlake", cores: str = "8", shuffle: int = 8, m
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
-
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder the session names in ``spark.checkpoint.dir``; a temporary one only where none is set."""
-    context = spark.sparkContext
-    current = context.getCheckpointDir()
-    if current:
-        return current
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="compatlake-checkpoint-")
-    context.setCheckpointDir(folder)
-    return folder

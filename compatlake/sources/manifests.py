@@ -1,26 +1,23 @@
 """Installed games, library folders and launch options from collected manifest files.
 
-Files are read whole, as ``(path, text)``. Patterns reach a fixed depth: blocks within the block of
-interest are cut out, quoted braces and escaped quotes are respected.
+Files are read whole, as ``(path, text)``. A text is cut into quoted texts and braces, and one pass over these carries
+the keys of all open blocks, so that blocks may lie at any depth and hold any number of entries.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import present
 from ..operators.tables import with_report_counts
 
-_QUOTED = r'"(?:[^"\\]|\\.)*"'
-_TEXT = r'"((?:[^"\\]|\\.)*)"'
-_FLAT = rf'(?:[^{{}}"]|{_QUOTED})*'
-_NESTED = rf'(?:[^{{}}"]|{_QUOTED}|\{{{_FLAT}\}})*'
-_PAIR = rf"{_TEXT}\s+{_TEXT}"
-_INNER_BLOCK = rf"{_QUOTED}\s*\{{{_FLAT}\}}"
-_BLOCK = rf"{_TEXT}\s*\{{({_NESTED})\}}"
-_APP_BLOCK = rf'"0*([1-9]\d{{0,9}})"\s*\{{({_NESTED})\}}'
-#: Levels of blocks cut out of a manifest's own block.
-DEPTH = 4
+#: A quoted text or a brace; no part of it backtracks.
+_TOKEN = r'"(?:[^"\\]++|\\.)*+"|[{}]'
+# Where launch options stand in a user config, and how their key may be spelled.
+_APPS = ("userlocalconfigstore", "software", "valve", "steam", "apps")
+_OPTION_KEYS = ("launchoptions", "launch options")
 
 
 def read_files(spark: SparkSession, folder: str, names: str) -> DataFrame:
@@ -31,12 +28,17 @@ def read_files(spark: SparkSession, folder: str, names: str) -> DataFrame:
 
 
 def clean_path(path: Column) -> Column:
-    """Without doubled slashes, dots and a slash at the end."""
-    out = F.regexp_replace(path, "/+", "/")
-    out = F.regexp_replace(out, r"/\.(?=/|$)", "")
-    for _ in range(DEPTH):
-        out = F.regexp_replace(out, r"/(?!\.\./)[^/]+/\.\.(?=/|$)", "")
-    return F.when(F.length(out) > 1, F.regexp_replace(out, "/$", "")).otherwise(out)
+    """Without doubled slashes, dots, steps up, and a slash at the end."""
+    rooted = path.startswith("/")
+
+    def step(kept: Column, piece: Column) -> Column:
+        last = F.try_element_at(kept, F.lit(-1))
+        stuck = last.isNull() | (last == "..")
+        up = F.when(stuck & rooted, kept).when(stuck, F.array_append(kept, piece)).otherwise(F.slice(kept, 1, F.size(kept) - 1))
+        return F.when(piece.isin("", "."), kept).when(piece == "..", up).otherwise(F.array_append(kept, piece))
+
+    pieces = F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step)
+    return F.concat(F.when(rooted, F.lit("/")).otherwise(F.lit("")), F.array_join(pieces, "/"))
 
 
 def dedupe_paths(paths: DataFrame, group: str) -> DataFrame:
@@ -56,44 +58,59 @@ def _uncommented(text: Column) -> Column:
     return F.regexp_replace(text, r"(?m)^\s*//.*$", "")
 
 
-def _body(text: Column, key: str) -> Column:
-    """Inside of the outermost block, if it has the wanted key."""
-    return F.regexp_extract(_uncommented(text), rf'(?is)^\s*"{key}"\s*\{{(.*)\}}\s*$', 1)
+def pairs(text: Column, wanted: Callable[[Column, Column], Column]) -> Column:
+    """Wanted pairs of a manifest in order, as structs of the open blocks' keys, key and value."""
+    shape = "array<struct<blocks:array<string>,key:string,value:string>>"
+    start = F.struct(
+        F.array().cast("array<string>").alias("blocks"),
+        F.lit(None).cast("string").alias("key"),
+        F.array().cast(shape).alias("found"),
+    )
 
+    def step(state: Column, token: Column) -> Column:
+        blocks, key = state["blocks"], state["key"]
+        quoted = token.startswith('"')
+        body = _plain(F.substring(token, F.lit(2), F.length(token) - 2))
+        pair = F.struct(blocks.alias("blocks"), key.alias("key"), body.alias("value"))
+        outside = F.slice(blocks, 1, F.greatest(F.size(blocks) - 1, F.lit(0)))
+        return F.struct(
+            F.when(token == "{", F.array_append(blocks, F.coalesce(key, F.lit(""))))
+            .when(token == "}", outside)
+            .otherwise(blocks)
+            .alias("blocks"),
+            F.when(quoted & key.isNull(), body).alias("key"),
+            F.when(quoted & key.isNotNull() & wanted(blocks, key), F.array_append(state["found"], pair))
+            .otherwise(state["found"])
+            .alias("found"),
+        )
 
-def _without_blocks(body: Column) -> Column:
-    for _ in range(DEPTH):
-        body = F.regexp_replace(body, _INNER_BLOCK, "")
-    return body
+    tokens = F.regexp_extract_all(_uncommented(text), F.lit(_TOKEN), F.lit(0))
+    return F.aggregate(tokens, start, step, lambda state: state["found"])
 
 
-def _matches(text: Column, regexp: str) -> Column:
-    """All matches of a pattern with two groups, as key and value."""
-    return F.arrays_zip(
-        F.regexp_extract_all(text, F.lit(regexp), F.lit(1)).alias("k"),
-        F.regexp_extract_all(text, F.lit(regexp), F.lit(2)).alias("v"),
-    )
+def _value(found: Column, key: str) -> Column:
+    """Last value of a key."""
+    return F.try_element_at(F.filter(found, lambda p: p["key"] == key), F.lit(-1))["value"]
 
 
-def _value(body: Column, key: str, ignore_case: bool = False) -> Column:
-    """Last value of a key among the pairs of a body."""
-    of_key = F.filter(_matches(body, _PAIR), lambda p: (F.lower(p["k"]) if ignore_case else p["k"]) == key)
-    return _plain(F.try_element_at(of_key, F.lit(-1))["v"])
+def _lower(blocks: Column) -> Column:
+    return F.transform(blocks, F.lower)
 
 
 def installed_games(files: DataFrame) -> DataFrame:
     """One row per app manifest with an app id."""
     library = clean_path(F.regexp_extract("path", r"^(.*)/steamapps/[^/]*$", 1))
-    state = files.select("path", library.alias("library"), _without_blocks(_body(F.col("text"), "AppState")).alias("body"))
+    own = pairs(F.col("text"), lambda blocks, _: _lower(blocks) == F.array(F.lit("appstate")))
+    state = files.select("path", library.alias("library"), own.alias("own"))
     parsed = state.select(
         "library",
         "path",
-        _value(F.col("body"), "appid").try_cast("int").alias("appid"),
-        F.coalesce(_value(F.col("body"), "name"), F.lit("")).alias("name"),
-        F.coalesce(_value(F.col("body"), "SizeOnDisk").try_cast("bigint"), F.lit(0)).alias("size_on_disk"),
-        F.coalesce(_value(F.col("body"), "StateFlags").try_cast("bigint"), F.lit(0)).alias("state_flags"),
-        F.coalesce(_value(F.col("body"), "buildid"), F.lit("")).alias("build_id"),
-        _value(F.col("body"), "installdir").alias("_dir"),
+        _value(F.col("own"), "appid").try_cast("int").alias("appid"),
+        F.coalesce(_value(F.col("own"), "name"), F.lit("")).alias("name"),
+        F.coalesce(_value(F.col("own"), "SizeOnDisk").try_cast("bigint"), F.lit(0)).alias("size_on_disk"),
+        F.coalesce(_value(F.col("own"), "StateFlags").try_cast("bigint"), F.lit(0)).alias("state_flags"),
+        F.coalesce(_value(F.col("own"), "buildid"), F.lit("")).alias("build_id"),
+        _value(F.col("own"), "installdir").alias("_dir"),
     )
     place = F.concat(F.col("library"), F.lit("/steamapps/common/"), F.nullif("_dir", F.lit("")))
     return parsed.where(F.col("appid") > 0).withColumn("install_path", F.coalesce(place, F.lit(""))).drop("_dir")
@@ -101,50 +118,64 @@ def installed_games(files: DataFrame) -> DataFrame:
 
 def library_folders(files: DataFrame) -> DataFrame:
     """Libraries per root in order: the root itself, then the listed paths by number."""
+
+    def listed(blocks: Column, key: Column) -> Column:
+        return (F.size(blocks) == 2) & (F.lower(F.get(blocks, F.lit(0))) == "libraryfolders") & (key == "path")
+
     rooted = files.select(
         clean_path(F.regexp_extract("path", r"^(.*)/steamapps/[^/]*$", 1)).alias("root"),
-        _body(F.col("text"), "libraryfolders").alias("body"),
+        pairs(F.col("text"), listed).alias("entries"),
     )
-    blocks = _matches(F.col("body"), _BLOCK)
     sortable = F.array_sort(
         F.transform(
-            blocks,
-            lambda b: F.struct(
-                F.coalesce(b["k"].try_cast("int"), F.lit(2147483647)).alias("number"),
-                b["k"].alias("key"),
-                F.coalesce(_value(_without_blocks(b["v"]), "path"), F.lit("")).alias("path"),
+            "entries",
+            lambda e: F.struct(
+                F.coalesce(F.get(e["blocks"], F.lit(1)).try_cast("int"), F.lit(2147483647)).alias("number"),
+                F.get(e["blocks"], F.lit(1)).alias("key"),
+                e["value"].alias("path"),
             ),
         )
     )
     paths = F.concat(F.array("root"), F.transform(sortable, lambda b: b["path"]))
-    listed = rooted.select("root", F.posexplode(paths).alias("pos", "path"))
-    return dedupe_paths(listed, "root").withColumnRenamed("path", "library")
+    listed_paths = rooted.select("root", F.posexplode(paths).alias("pos", "path"))
+    return dedupe_paths(listed_paths, "root").withColumnRenamed("path", "library")
 
 
 def launch_options(files: DataFrame) -> DataFrame:
     """Launch options per root and app from user configs; the first file in path order counts.
 
-    An app's block may hold one level of blocks; the option is taken from the block's own level.
+    Within a file the apps block of the usual place counts first, then any numbered block, outer ones before inner ones
+    and in order of their keys.
     """
-    blocks = _matches(F.col("text"), _APP_BLOCK)
+
+    def option(blocks: Column, key: Column) -> Column:
+        return F.element_at(blocks, -1).rlike(r"^0*[1-9]\d{0,9}$") & F.lower(key).isin(*_OPTION_KEYS)
+
     found = files.where(F.col("path").rlike(r"/userdata/.*/config/localconfig\.vdf$")).select(
-        clean_path(F.regexp_extract("path", r"^(.*?)/userdata/", 1)).alias("root"), "path", F.posexplode(blocks).alias("at", "b")
+        clean_path(F.regexp_extract("path", r"^(.*?)/userdata/", 1)).alias("root"),
+        "path",
+        F.explode(pairs(F.col("text"), lambda blocks, key: (F.size(blocks) > 0) & option(blocks, key))).alias("p"),
     )
-    own = _without_blocks(F.col("b")["v"])
-    value = F.coalesce(
-        present(_value(own, "launchoptions", ignore_case=True)), present(_value(own, "launch options", ignore_case=True))
+    blocks = F.col("p")["blocks"]
+    usual = _lower(F.slice(blocks, 1, F.size(blocks) - 1)) == F.array(*[F.lit(key) for key in _APPS])
+    spelling = F.array_position(F.array(*[F.lit(key) for key in _OPTION_KEYS]), F.lower(F.col("p")["key"]))
+    options = found.select(
+        "root",
+        F.element_at(blocks, -1).try_cast("int").alias("appid"),
+        present(F.col("p")["value"]).alias("existing"),
+        F.struct("path", (~usual).alias("unusual"), blocks.alias("blocks"), spelling.alias("spelling")).alias("place"),
     )
-    options = found.select("root", "path", "at", F.col("b")["k"].try_cast("int").alias("appid"), value.alias("existing"))
     return (
         options.where((F.col("appid") > 0) & F.col("existing").isNotNull())
         .groupBy("root", "appid")
-        .agg(F.min_by("existing", F.struct("path", "at")).alias("existing"))
+        .agg(F.min_by("existing", "place").alias("existing"))
     )
 
 
 def inventory(games: DataFrame, libraries: DataFrame, options: DataFrame) -> DataFrame:
-    """Installed games per root with what is set for them."""
-    placed = games.join(libraries.select("root", "library"), "library")
+    """Installed games per root with what is set for them; a library that no root lists is a root of its own."""
+    placed = games.join(libraries.select("root", "library"), "library", "left")
+    placed = placed.withColumn("root", F.coalesce("root", "library"))
     return placed.join(options, ["root", "appid"], "left").withColumn("existing", F.coalesce("existing", F.lit("")))
 
 

@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fields
 from ..functions.text import present, text_or_empty
+from ..operators.scaling import stored
 from ..schemas import SYSTEM_FIELDS
 
-#: How deep reports may lie in a document.
-DEPTH = 4
+#: Levels that are opened in one go; documents with more brackets within each other are opened step by step.
+LEVELS = 4
 _NODE = "struct<done: boolean, value: variant, appid: int, title: string, id: string, position: array<bigint>>"
 
 
@@ -96,30 +97,51 @@ def _level(df: DataFrame) -> DataFrame:
     return df.select(*[c for c in keep if c != "node"], F.explode(children.cast(f"array<{_NODE}>")).alias("node"))
 
 
-def flatten(items: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """Report records in document items ``(archive, position, raw)``.
+def _depth(raw: Column) -> Column:
+    """How many brackets of a JSON text stand within each other; not counted where there are only a few at all."""
+    brackets = F.length(raw) - F.length(F.translate(raw, "[{", ""))
+    bare = F.regexp_replace(raw, r'"(?:[^"\\]++|\\.)*+"', "")
+    marks = F.regexp_extract_all(bare, F.lit(r"[\[\]{}]"), F.lit(0))
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
 
-    App id, title and path id come down from the containers. Every level is one explode in the
-    same stage; nothing is shuffled.
+    def step(state: Column, mark: Column) -> Column:
+        now = state["now"] + F.when(mark.isin("[", "{"), 1).otherwise(-1)
+        return F.struct(now.alias("now"), F.greatest(state["most"], now).alias("most"))
+
+    return F.when(brackets <= LEVELS, F.lit(0)).otherwise(F.aggregate(marks, start, step, lambda state: state["most"]))
+
+
+def _chosen(df: DataFrame, chosen: Column, node: Column) -> DataFrame:
+    """Nodes of the chosen rows; an explode, since a filter would be carried into every level above it."""
+    return df.select("archive", F.explode(F.when(chosen, F.array(node.cast(_NODE)))).alias("node"))
+
+
+def _opened(df: DataFrame) -> DataFrame:
+    """Nodes after some levels, their values as JSON texts; what can hold no report is left out."""
+    for _ in range(LEVELS):
+        df = _level(df)
+    kept = df.where(F.col("node.done") | fields.kind_of(F.col("node.value")).isin("OBJECT", "ARRAY"))
+    names = ("done", "appid", "title", "id", "position")
+    return kept.select("archive", *[F.col(f"node.{n}").alias(n) for n in names], F.to_json("node.value").alias("raw_json"))
+
+
+def flatten(items: DataFrame) -> DataFrame:
+    """Report records in document items ``(archive, position, raw)``, however deep they lie.
+
+    App id, title and path id come down from the containers. A level is one explode in the same stage; nothing is
+    shuffled. Items that are nested deeply are few; what is still closed after some levels is stored and opened again.
     """
     position = F.col("position")
     start_id = F.array_join(F.transform(position, lambda p: p.cast("string")), ":")
-    root = _node(F.try_parse_json("raw"), F.lit(0), F.lit(None).cast("string"), start_id, position)
-    df = items.select("archive", root.cast(_NODE).alias("node"))
-    for _ in range(depth):
-        df = _level(df)
-    nested = F.col("node.done") | fields.kind_of(F.col("node.value")).isin("OBJECT", "ARRAY")
-    deeper = F.raise_error(F.lit(f"reports lie deeper than {depth} levels"))
-    done = df.where(nested).where(F.when(F.col("node.done"), F.lit(True)).otherwise(deeper.cast("boolean")))
-    return done.select(
-        "archive",
-        F.col("node.appid").alias("appid"),
-        F.col("node.title").alias("title"),
-        F.col("node.id").alias("id"),
-        F.col("node.position").alias("position"),
-        F.col("node.value").alias("value"),
-        F.to_json("node.value").alias("raw_json"),
-    )
+    deep = F.coalesce(_depth(F.col("raw")) > LEVELS, F.lit(False))
+    node = _node(F.try_parse_json("raw"), F.lit(0), F.lit(None).cast("string"), start_id, position)
+    found = _opened(items.select("archive", node.cast(_NODE).alias("node"))).where("done")
+    rest = None if items.where(deep).isEmpty() else stored(_opened(_chosen(items, deep, node))).where("NOT done")
+    while rest is not None and not rest.isEmpty():
+        node = _node(F.try_parse_json("raw_json"), F.col("appid"), F.col("title"), F.col("id"), F.col("position"))
+        rows = stored(_opened(_chosen(rest, ~F.col("done"), node)))
+        found, rest = found.unionByName(rows.where("done")), rows.where("NOT done")
+    return found.select("archive", "appid", "title", "id", "position", F.try_parse_json("raw_json").alias("value"), "raw_json")
 
 
 def normalize(records: DataFrame, source_id: Column) -> DataFrame:

@@ -113,3 +113,16 @@ def test_too_deep_documents_are_refused(spark):
     deep = spark.createDataFrame([("a", [], '{"a":{"b":{"c":{"d":{"e":{"appid":1}}}}}}')], "archive string, position array<bigint>, raw string")
     with pytest.raises(Exception, match="deeper than 4 levels"):
         flatten(deep).collect()
+
+
+def test_number_rows_with_cells_ties_and_null_groups(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice([None, "hot", "hot", "a"]), rng.choice([None, 1, 2, 3]), n) for n in range(600)]
+    df = spark.createDataFrame(rows, "g string, score int, id int").repartition(5)
+    order = [F.col("score").desc(), F.col("id").asc()]
+    got = scaling.number_rows(df, ["g"], order, [(F.col("score"), True)]).collect()
+    expected, count = {}, {}
+    for g, _, n in sorted(rows, key=lambda r: (str(r[0]), -(r[1] or 0), r[2])):
+        count[g] = count.get(g, 0) + 1
+        expected[n] = count[g]
+    assert {r["id"]: r["rank"] for r in got} == expected

@@ -195,3 +195,58 @@ def test_machine_profiles(spark, tmp_path):
     assert (first["ram_gb"], first["norm_ram_bucket"]) == (31.3, "16-31")
     assert (first["distro"], first["norm_distro_family"]) == ('Arch "btw" Linux', "arch")
     assert (rows["two"]["distro"], rows["two"]["ram_gb"], rows["two"]["norm_distro_family"]) == ("Fedora 40", 0.0, "fedora")
+
+
+def _text_rows(spark, rows):
+    return spark.createDataFrame(rows, "path string, text string")
+
+
+def test_many_apps_and_deep_blocks(spark):
+    """Thousands of entries and ten levels of blocks are neither too many nor guessed at."""
+    apps = " ".join(f'"{n}" "{n * 7}"' for n in range(1, 3001))
+    folders = f'"libraryfolders" {{ "0" {{ "path" "/r" "apps" {{ {apps} }} "a" {{ "b" {{ "path" "/no" }} }} }} "1" {{ "x" {{ "y" {{ "z" "1" }} }} "path" "/s/../t" }} }}'
+    found = manifests.library_folders(_text_rows(spark, [("/r/steamapps/libraryfolders.vdf", folders)]))
+    assert [r["library"] for r in found.orderBy("pos").collect()] == ["/r", "/t"]
+
+    nested = '"appid" "999"'
+    for level in range(10):
+        nested = f'"level{level}" {{ {nested} }}'
+    manifest = f'"AppState" {{ {nested} "appid" "5" "name" "Deep" {nested} }}'
+    game = manifests.installed_games(_text_rows(spark, [("/r/steamapps/appmanifest_5.acf", manifest)])).first()
+    assert (game["appid"], game["name"]) == (5, "Deep")
+
+    config = '"other" { "7" { "LaunchOptions" "fallback" } "8" { "LaunchOptions" "only here" } } "UserLocalConfigStore" { "Software" { "Valve" { "Steam" { "apps" { "7" { "a" { "b" { "c" "d" } } "LaunchOptions" "usual" } } } } } }'
+    options = manifests.launch_options(_text_rows(spark, [("/r/userdata/1/config/localconfig.vdf", config)]))
+    assert {r["appid"]: r["existing"] for r in options.collect()} == {7: "usual", 8: "only here"}
+
+
+def test_root_without_a_folders_file(spark):
+    games = manifests.installed_games(_text_rows(spark, [("/q/steamapps/appmanifest_5.acf", '"AppState" { "appid" "5" }')]))
+    none = spark.createDataFrame([], "root string, pos int, library string")
+    options = spark.createDataFrame([("/q", 5, "-novid")], "root string, appid int, existing string")
+    row = manifests.inventory(games, none, options).first()
+    assert (row["root"], row["existing"]) == ("/q", "-novid")
+
+
+def test_clean_path_goes_up_any_number_of_steps(spark):
+    path = "/" + "/".join("abcdefgh") + "/.." * 7 + "/z"
+    assert spark.range(1).select(manifests.clean_path(F.lit(path)).alias("p")).first()["p"] == "/a/z"
+
+
+def test_notes_and_documents_of_any_depth(spark):
+    from compatlake.functions import fields
+    from compatlake.sources.records import flatten
+
+    deep = {"a": {"b": [{"c": {"d": {"e \"q\"": "deep\ntext"}}}, "item text", 5, None, "no"]}, "x": "shallow: text, {"}
+    note = spark.range(1).select(fields.note_texts(F.parse_json(F.lit(json.dumps(deep)))).alias("n")).first()["n"]
+    assert note == ['a: b: c: d: e "q": deep\ntext', "a: b: item text", "x: shallow: text, {"]
+    escaped = spark.range(1).select(fields.note_texts(F.parse_json(F.lit(json.dumps("\n\"x\\" * 3000)))).alias("n")).first()["n"]
+    assert escaped == [("\n\"x\\" * 3000).strip()]
+
+    record_ = {"appid": 7, "timestamp": 1710000000}
+    nested = record_
+    for level in range(8):
+        nested = [nested] if level % 2 else {f"group {level}": nested}
+    items = [("a", [0], json.dumps(nested)), ("a", [1], json.dumps(record_)), ("a", [2], json.dumps([[[[[[]]]]]]))]
+    found = flatten(spark.createDataFrame(items, "archive string, position array<bigint>, raw string")).collect()
+    assert sorted((r["appid"], r["position"][0]) for r in found) == [(7, 0), (7, 1)]
