@@ -23,6 +23,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
@@ -173,28 +174,43 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def _mapped(docs: DataFrame, column: str, name: str, kind: T.DataType, arrow: pa.DataType, function) -> DataFrame:
+#: Rows handled at once.
+STEP_ROWS = 512
+
+
+def _mapped(docs: DataFrame, column: str, name: str, kind: T.DataType, function) -> DataFrame:
+    """The documents with a column that ``function`` makes of slices of another one, array to array."""
     place = docs.columns.index(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first in range(0, batch.num_rows, 512):
-                part = batch.slice(first, 512)
-                made = pa.array([function(value.as_py()) for value in part.column(place)], arrow)
-                yield pa.record_batch([*part.columns, made], [*part.schema.names, name])
+            for first in range(0, batch.num_rows, STEP_ROWS):
+                part = batch.slice(first, STEP_ROWS)
+                yield pa.record_batch([*part.columns, function(part.column(place))], [*part.schema.names, name])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, kind)]))
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", name: str = "ids") -> DataFrame:
     """The documents and the ids of their texts."""
-    kind = T.ArrayType(T.IntegerType(), False)
-    return _mapped(docs, text, name, kind, pa.list_(pa.int32()), lambda value: vocabulary(path).encode(value or ""))
+
+    def encoded(texts: pa.Array) -> pa.Array:
+        words = vocabulary(path)
+        return pa.array([words.encode(text or "") for text in texts.to_pylist()], pa.list_(pa.int32()))
+
+    return _mapped(docs, text, name, T.ArrayType(T.IntegerType(), False), encoded)
 
 
 def decode(docs: DataFrame, path: str, ids: str = "ids", name: str = "decoded") -> DataFrame:
     """The documents and the texts of their ids; null ids give an empty text."""
-    return _mapped(docs, ids, name, T.StringType(), pa.string(), lambda value: vocabulary(path).decode(value or []))
+
+    def decoded(lists: pa.Array) -> pa.Array:
+        words = vocabulary(path)
+        ends = np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).tolist()
+        flat = lists.flatten().to_pylist()
+        return pa.array([words.decode(flat[a:b]) for a, b in zip([0, *ends], ends)], pa.string())
+
+    return _mapped(docs, ids, name, T.StringType(), decoded)
 
 
 def default_path() -> str:
