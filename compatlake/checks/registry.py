@@ -202,21 +202,23 @@ def _(data):
 
 
 def _system_rows(data: Data) -> DataFrame:
-    """Several hardware rows per report id: the id is that of a group of reports."""
+    """Several hardware rows per report, and reports of two sources under one id: the id is that of a group."""
     group = F.concat(F.lit("g"), F.floor(_c("k") / 3).cast("string"))
-    return data.reports().withColumn("source_report_id", group)
+    source = F.concat(F.lit("board:"), (_c("k") % 2).cast("string"))
+    return data.reports().withColumns({"source_report_id": group, "source_id": source})
 
 
 @check(
     "a8_system_info_last_wins",
     q.query(
-        f"SELECT source_report_id, gpu_model, cpu, ram_gb, kernel FROM (SELECT 'g' || CAST(k // 3 AS VARCHAR) AS source_report_id, "
-        f"gpu_model, cpu, {q.RAM_GB} AS ram_gb, kernel, row_number() OVER (PARTITION BY k // 3 ORDER BY k DESC) AS n FROM reports) WHERE n = 1",
+        "SELECT source_id, source_report_id, gpu_model, cpu, ram_gb, kernel FROM (SELECT 'board:' || CAST(k % 2 AS VARCHAR) AS source_id, "
+        f"'g' || CAST(k // 3 AS VARCHAR) AS source_report_id, gpu_model, cpu, {q.RAM_GB} AS ram_gb, kernel, "
+        "row_number() OVER (PARTITION BY k // 3, k % 2 ORDER BY k DESC) AS n FROM reports) WHERE n = 1",
         "reports",
     ),
 )
 def _(data):
-    rows = _system_rows(data).select("source_report_id", "gpu_model", "cpu", "ram_gb", "kernel", "position")
+    rows = _system_rows(data).select("source_id", "source_report_id", "gpu_model", "cpu", "ram_gb", "kernel", "position")
     return tables.last_system_info(rows)
 
 
@@ -341,21 +343,27 @@ def _(data):
 
 # every third report has no hardware row
 _INFO_SQL = (
-    f"SELECT source_report_id, appid, {_STAMP_SQL}, CASE WHEN k % 3 = 0 THEN '' ELSE gpu_model END AS gpu_model, "
+    f"SELECT source_id, source_report_id, appid, {_STAMP_SQL}, CASE WHEN k % 3 = 0 THEN '' ELSE gpu_model END AS gpu_model, "
     f"CASE WHEN k % 3 = 0 THEN '' ELSE cpu END AS cpu, CASE WHEN k % 3 = 0 THEN 0e0 ELSE {q.RAM_GB} END AS ram_gb FROM reports"
 )
 
 
-def _with_info(data: Data) -> DataFrame:
+def _with_info(data: Data, shared: bool = False) -> DataFrame:
     reports = data.reports()
+    if shared:
+        reports = reports.withColumn("source_report_id", F.concat(F.lit("g"), F.floor(_c("k") / 3).cast("string")))
     info = reports.where(_c("k") % 3 != 0)
-    bare = reports.select("source_report_id", "appid", "ts", "launch_options")
+    bare = reports.select("source_id", "source_report_id", "appid", "ts", "launch_options")
     return tables.with_system_info(bare, info)
 
 
-@check("c1_reports_with_system_info", q.query(_INFO_SQL, "reports"))
+# three sources share each id
+_SHARED_ID = "source_id, 'g' || CAST(k // 3 AS VARCHAR) AS source_report_id"
+
+
+@check("c1_reports_with_system_info", q.query(_INFO_SQL.replace("source_id, source_report_id", _SHARED_ID), "reports"))
 def _(data):
-    return _with_info(data).select("source_report_id", "appid", _stamp("ts"), "gpu_model", "cpu", "ram_gb")
+    return _with_info(data, shared=True).select("source_id", "source_report_id", "appid", _stamp("ts"), "gpu_model", "cpu", "ram_gb")
 
 
 @check(
@@ -367,7 +375,7 @@ def _(data):
 )
 def _(data):
     ranked = ranking.newest_first(_with_info(data))
-    return ranked.select("source_report_id", "appid", _stamp("ts"), "gpu_model", "cpu", "ram_gb", "rank")
+    return ranked.select("source_id", "source_report_id", "appid", _stamp("ts"), "gpu_model", "cpu", "ram_gb", "rank")
 
 
 @check("a17_find_game", q.query("SELECT * FROM games WHERE appid = 1042", "games"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import string
+import unicodedata
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .scaling import top_rows
@@ -10,14 +13,18 @@ from .scaling import top_rows
 K1, B = 1.2, 0.75
 LEAST_WEIGHT = 1e-6
 LIMIT, MOST = 20, 100
-# Latin letters with marks and the letters they are searched as.
-_MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-_PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+#: Small Latin letters with marks of all blocks, by their canonical decomposition, and the letters they are searched as.
+_FOLDS = {
+    chr(code): unicodedata.normalize("NFD", chr(code))[0]
+    for code in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))
+    if chr(code) == chr(code).lower() and unicodedata.normalize("NFD", chr(code))[0] in string.ascii_lowercase
+}
+_MARKED, _PLAIN = "".join(_FOLDS), "".join(_FOLDS.values())
 
 
 def tokens(text: Column) -> Column:
-    """Lower-case runs of letters and digits, without marks on Latin letters."""
-    plain = F.translate(F.lower(text), _MARKED, _PLAIN)
+    """Lower-case runs of letters and digits, without marks on Latin letters, be they of one piece or combined."""
+    plain = F.regexp_replace(F.translate(F.lower(text), _MARKED, _PLAIN), r"\p{Mn}+", "")
     return F.filter(F.split(plain, r"[^\p{L}\p{N}]+"), lambda token: token != "")
 
 
@@ -56,10 +63,11 @@ def query_phrases(queries: DataFrame) -> DataFrame:
     return sized.select("query_id", "phrase", "length", F.posexplode("_tokens").alias("step", "token"))
 
 
-def search(docs: DataFrame, text: Column, queries: DataFrame, limit: int = LIMIT) -> DataFrame:
+def search(docs: DataFrame, text: Column, queries: DataFrame, limit: int = LIMIT, most: int = MOST) -> DataFrame:
     """Best documents per query ``(query_id, query)``: all words present, BM25 descending, then document id.
 
-    Documents meet the queries' tokens only, word by word; they are never shuffled whole.
+    Documents meet the queries' tokens word by word, and whole texts are not shuffled. At most ``most`` results are
+    given, whatever the limit asks for.
     """
     tokenised = docs.select("doc_id", text.alias("_tokens"))
     length = F.size(F.filter("_tokens", lambda token: token != F.lit("")))
@@ -96,7 +104,7 @@ def search(docs: DataFrame, text: Column, queries: DataFrame, limit: int = LIMIT
         .where(F.col("_found") == F.col("_wanted"))
         .select("query_id", "doc_id", "score")
     )
-    return top_rows(scored, ["query_id"], [F.col("score").desc(), F.col("doc_id").asc()], min(limit, MOST))
+    return top_rows(scored, ["query_id"], [F.col("score").desc(), F.col("doc_id").asc()], min(limit, most))
 
 
 def name_contains(names: DataFrame, part: str) -> DataFrame:

@@ -19,6 +19,10 @@ def with_report_ids(reports: DataFrame) -> DataFrame:
     return reports.withColumn("source_report_id", F.coalesce(given, made))
 
 
+#: What tells reports apart.
+REPORT_KEY = ["source_id", "source_report_id"]
+
+
 def _last(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
     """Of the rows with equal keys the one last in order."""
     rest = F.struct(*[c for c in df.columns if c not in keys])
@@ -26,13 +30,13 @@ def _last(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
 
 
 def last_system_info(rows: DataFrame) -> DataFrame:
-    """Hardware per report, of several the last in input order."""
-    return _last(rows, ["source_report_id"], F.col("position")).drop("position")
+    """Hardware per report, of several the last in input order. A report's id is unique within its source only."""
+    return _last(rows, REPORT_KEY, F.col("position")).drop("position")
 
 
 def with_system_info(reports: DataFrame, info: DataFrame) -> DataFrame:
     """Reports with their hardware; missing texts are empty and missing RAM is 0."""
-    found = reports.join(info.select("source_report_id", *SYSTEM_FIELDS), "source_report_id", "left")
+    found = reports.join(info.select(*REPORT_KEY, *SYSTEM_FIELDS), REPORT_KEY, "left")
     blank = {name: F.lit(0.0) if name == "ram_gb" else F.lit("") for name in SYSTEM_FIELDS}
     return found.withColumns({name: F.coalesce(F.col(name), blank[name]) for name in SYSTEM_FIELDS})
 
