@@ -190,7 +190,42 @@ SELECT o_custkey AS line_id, o_orderkey AS pos, 's' || CAST(o_orderkey AS STRING
 FROM orders JOIN report_columns ON k = o_orderkey
 """
 
+# Collected files: a manifest per part in five libraries, a folders file per supplier, a user config per customer.
+_APP_FILES = """
+SELECT '/lib' || CAST(p_partkey % 5 AS STRING) || '/steamapps/appmanifest_' || CAST(p_partkey AS STRING) || '.acf' AS path,
+  '"AppState"' || chr(10) || '{ "UserConfig" { "a" { "appid" "9" "b" { "c" { "d" { "e" { "appid" "9" } } } } } } "appid" "'
+    || CAST(p_partkey AS STRING) || '" "name" "' || p_name || '" "SizeOnDisk" "' || CAST(p_size * 1000 AS STRING)
+    || '" "installdir" "' || p_type || '" "later" { "name" "{" } }' AS text
+FROM part
+"""
+_FOLDER_FILES = """
+SELECT '/root' || CAST(s_suppkey AS STRING) || '/steamapps/libraryfolders.vdf' AS path,
+  '"libraryfolders" { "10" { "path" "/far" } "1" { "apps" { "7" { "path" "/no" } } "path" "/lib' || CAST(s_suppkey % 5 AS STRING)
+    || '/" } "0" { "path" "/x/y/../../root' || CAST(s_suppkey AS STRING) || '" } }' AS text
+FROM supplier
+"""
+_CONFIG_FILES = """
+SELECT '/root' || CAST(c_custkey % 10 AS STRING) || '/userdata/' || CAST(c_custkey AS STRING) || '/config/localconfig.vdf' AS path,
+  CASE WHEN c_custkey % 2 = 0 THEN '"UserLocalConfigStore" { "Software" { "Valve" { "Steam" { "apps" { "'
+      || CAST(c_custkey % 50 + 1 AS STRING) || '" { "cloud" { "LaunchOptions" "no" } "LaunchOptions" "opt ' || CAST(c_custkey AS STRING)
+      || '" } } } } } }'
+    ELSE '"other" { "' || CAST(c_custkey % 50 + 1 AS STRING) || '" { "Launch Options" " opt ' || CAST(c_custkey AS STRING) || ' " } }' END AS text
+FROM customer
+"""
+_PROBE_FILES = """
+SELECT '/probe/' || CAST(s_suppkey AS STRING) || '/os-release' AS path,
+  'NAME=Plain' || chr(10) || 'PRETTY_NAME="Distro ' || CAST(s_suppkey AS STRING) || '"' || chr(10) AS text FROM supplier
+UNION ALL SELECT '/probe/' || CAST(s_suppkey AS STRING) || '/cpuinfo' AS path,
+  'processor : 0' || chr(10) || 'model name : Core ' || CAST(s_suppkey AS STRING) || chr(10) AS text FROM supplier
+UNION ALL SELECT '/probe/' || CAST(s_suppkey AS STRING) || '/meminfo' AS path,
+  'MemTotal: ' || CAST(s_suppkey * 1048576 AS STRING) || ' kB' || chr(10) AS text FROM supplier
+"""
+
 VIEWS = {
+    "app_files": _APP_FILES,
+    "folder_files": _FOLDER_FILES,
+    "config_files": _CONFIG_FILES,
+    "probe_files": _PROBE_FILES,
     "report_columns": _REPORT_COLUMNS,
     "reports": _REPORTS,
     "profiles": _PROFILES,

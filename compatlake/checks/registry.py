@@ -10,7 +10,7 @@ from ..functions import fields, hardware, runtime, scores, snippets
 from ..functions import text as texts
 from ..operators import launchline, mining, ranking, ratings, scaling, search, tables
 from ..plans import export, recommend
-from ..sources import listing, manifests, records
+from ..sources import listing, manifests, probes, records
 from . import sql as q
 from .adapter import Data, now
 
@@ -1462,3 +1462,92 @@ def _(data):
         data.view("games"), data.reports(spread=True), data.view("requests"), data.profiles(), now()
     )
     return rows.select("profile_id", "appid", "title", "badge", "runtime", "reports", "summary", "hardware")
+
+
+# --- collected files ----------------------------------------------------------------------------
+
+_GAME_SQL = (
+    "SELECT CAST(p_partkey AS INT) AS appid, p_name AS name, p_size * 1000 AS size_on_disk, '/lib' || (p_partkey % 5) AS library, "
+    "'/lib' || (p_partkey % 5) || '/steamapps/common/' || p_type AS install_path FROM part WHERE p_partkey > 0"
+)
+_OPTION_SQL = (
+    "SELECT '/root' || (c_custkey % 10) AS root, CAST(c_custkey % 50 + 1 AS INT) AS appid, "
+    "arg_min('opt ' || c_custkey, '/root' || (c_custkey % 10) || '/userdata/' || c_custkey || '/config/localconfig.vdf') AS existing "
+    "FROM customer GROUP BY ALL"
+)
+_PLACED_SQL = (
+    f"SELECT '/root' || s_suppkey AS root, g.appid, g.name, coalesce(o.existing, '') AS existing FROM ({_GAME_SQL}) g "
+    f"JOIN supplier ON g.library = '/lib' || (s_suppkey % 5) LEFT JOIN ({_OPTION_SQL}) o ON o.root = '/root' || s_suppkey AND o.appid = g.appid"
+)
+
+
+def _installed(data: Data) -> DataFrame:
+    return manifests.installed_games(data.view("app_files"))
+
+
+def _placed(data: Data) -> DataFrame:
+    libraries = manifests.library_folders(data.view("folder_files"))
+    options = manifests.launch_options(data.view("config_files"))
+    return manifests.inventory(_installed(data), libraries, options).select("root", "appid", "name", "existing")
+
+
+@check("a18_installed_games", _GAME_SQL)
+def _(data):
+    return _installed(data).select("appid", "name", "size_on_disk", "library", "install_path")
+
+
+@check(
+    "a19_library_folders",
+    "SELECT '/root' || s_suppkey AS root, 0 AS pos, '/root' || s_suppkey AS library FROM supplier UNION ALL SELECT '/root' || s_suppkey, 2, "
+    "'/lib' || (s_suppkey % 5) FROM supplier UNION ALL SELECT '/root' || s_suppkey, 3, '/far' FROM supplier",
+)
+def _(data):
+    return manifests.library_folders(data.view("folder_files")).select("root", "pos", "library")
+
+
+@check("a20_launch_options", _OPTION_SQL)
+def _(data):
+    return manifests.launch_options(data.view("config_files")).select("root", "appid", "existing")
+
+
+@check("a21_clean_paths", "SELECT p_partkey, '/' || p_brand || '/' || p_type || '/' || p_name AS path FROM part")
+def _(data):
+    messy = F.concat(F.lit("/"), "p_brand", F.lit("//./"), "p_type", F.lit("/1/2/3/4/5/6/../../../../../../"), "p_name", F.lit("/"))
+    return data.table("part").select("p_partkey", manifests.clean_path(messy).alias("path"))
+
+
+@check(
+    "a22_machine_profiles",
+    "SELECT CAST(s_suppkey AS VARCHAR) AS profile_id, 'Distro ' || s_suppkey AS distro, 'Core ' || s_suppkey AS cpu, "
+    "CAST(s_suppkey AS DOUBLE) AS ram_gb FROM supplier",
+)
+def _(data):
+    return probes.machine_profiles(data.view("probe_files")).select("profile_id", "distro", "cpu", "ram_gb")
+
+
+@check("c6_inventory", _PLACED_SQL)
+def _(data):
+    return _placed(data)
+
+
+@check(
+    "e10_inventory_by_name",
+    f"SELECT root, appid, row_number() OVER (PARTITION BY root ORDER BY lower(name), appid) AS rank FROM ({_PLACED_SQL})",
+)
+def _(data):
+    cells = [(F.substring(F.lower("name"), 1, 4), False)]
+    ranked = scaling.number_rows(_placed(data), ["root"], [F.lower("name").asc(), _c("appid").asc()], cells)
+    return ranked.select("root", "appid", "rank")
+
+
+@check(
+    "i6_inventory_coverage",
+    q.query(
+        f"SELECT root, appid, existing, coalesce(n, 0) AS report_count, n IS NOT NULL AS has_reports FROM ({_PLACED_SQL}) "
+        "LEFT JOIN (SELECT appid, count(*) AS n FROM reports GROUP BY appid) USING (appid)",
+        "reports",
+    ),
+)
+def _(data):
+    covered = manifests.coverage(_placed(data), data.reports())
+    return covered.select("root", "appid", "existing", "report_count", "has_reports")
