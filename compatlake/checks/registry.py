@@ -1348,6 +1348,34 @@ def _(data):
     return search.search(docs, search.field_tokens(_c("title"), _c("notes"), _c("launch_options")), queries)
 
 
+def _note_hits(data: Data, limit: int = search.LIMIT) -> DataFrame:
+    reports = data.view("reports").withColumnRenamed("k", "doc_id")
+    queries = reports.where("notes <> ''").select(_c("notes").alias("query_id"), F.regexp_replace("notes", "[^A-Za-z0-9]+", " ").alias("query"))
+    return search.search(reports, search.tokens(F.concat_ws(" ", "title", "notes", "launch_options")), queries.distinct(), limit)
+
+
+@check(
+    "c2_search_hits_with_games",
+    q.query(
+        f"SELECT h.query_id, h.doc_id, h.rank, r.appid, g.name FROM ({_search_sql(f'SELECT k AS doc_id, {_FIELD_TOKENS} AS tokens FROM reports', _NOTE_QUERIES, ('reports',))}) h "
+        "JOIN reports r ON r.k = h.doc_id LEFT JOIN games g ON g.appid = r.appid",
+        "reports",
+        "games",
+    ),
+)
+def _(data):
+    reports = data.view("reports").select(_c("k").alias("doc_id"), "appid")
+    return search.with_games(_note_hits(data), reports, data.view("games")).select("query_id", "doc_id", "rank", "appid", "name")
+
+
+@check(
+    "e9_search_limit",
+    _search_sql(f"SELECT k AS doc_id, {_FIELD_TOKENS} AS tokens FROM reports", _NOTE_QUERIES, ("reports",), 100),
+)
+def _(data):
+    return _note_hits(data, 500)
+
+
 @check(
     "g2_text_vocabulary",
     rf"SELECT token, count(*) AS documents, CAST(sum(n) AS BIGINT) AS occurrences FROM (SELECT doc_id, token, count(*) AS n FROM (SELECT doc_id, "

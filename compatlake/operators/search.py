@@ -107,6 +107,11 @@ def search(docs: DataFrame, text: Column, queries: DataFrame, limit: int = LIMIT
     return top_rows(scored, ["query_id"], [F.col("score").desc(), F.col("doc_id").asc()], min(limit, most))
 
 
+def with_games(hits: DataFrame, reports: DataFrame, games: DataFrame) -> DataFrame:
+    """Search hits on reports (``doc_id``) with the game each report is about; the name is NULL for an unknown game."""
+    return hits.join(reports.select("doc_id", "appid"), "doc_id").join(games.select("appid", "name"), "appid", "left")
+
+
 def name_contains(names: DataFrame, part: str) -> DataFrame:
     """Rows whose name holds a text in any case."""
     return names.where(F.lower("name").contains(part.lower()))
