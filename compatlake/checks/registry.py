@@ -1284,6 +1284,23 @@ def _(data):
     return launchline.current_options(lines).select("profile_id", "id", "snippet", "label", "description")
 
 
+@check(
+    "f2_offered_options",
+    q.query(
+        f"SELECT c.profile_id, r.appid, 'current' AS part, c.id, c.snippet, c.label FROM ({_CURRENT_SQL}) c JOIN requests r USING (profile_id) "
+        "UNION ALL SELECT profile_id, appid, 'suggested', id, snippet, label FROM shown",
+        *q.COMPARED_VIEWS,
+        "lines",
+        ctes=q.SUGGESTION_CTES,
+    ),
+)
+def _(data):
+    lines = data.view("lines").withColumnRenamed("line_id", "profile_id")
+    current = launchline.current_options(data.view("requests").join(lines, "profile_id"))
+    found = recommend.offered(current, _suggested(data, mining.shown_suggestions))
+    return found.select("profile_id", "appid", "part", "id", "snippet", "label")
+
+
 @check("f3_reported_apps", q.query("SELECT DISTINCT appid FROM reports", "reports"))
 def _(data):
     return data.reports().select("appid").distinct()

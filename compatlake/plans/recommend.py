@@ -123,6 +123,16 @@ def recommendations(
     )
 
 
+def offered(current: DataFrame, shown: DataFrame) -> DataFrame:
+    """What is offered per request: options that are set already first, then the shown suggestions.
+
+    ``current`` comes from ``launchline.current_options``; ``place`` counts within the two parts.
+    """
+    columns = ["profile_id", "appid", "id", "kind", "snippet", "label", "category", "confidence"]
+    first = current.select(F.lit("current").alias("part"), F.col("at").cast("bigint").alias("place"), *columns)
+    return first.unionByName(shown.select(F.lit("suggested").alias("part"), F.col("rank").cast("bigint").alias("place"), *columns))
+
+
 def app_rows(reports: DataFrame, now: Column) -> DataFrame:
     """Report count, verdict badge and common runtime of every app."""
     rates = ratings.badges(ratings.verdict_rates(reports, now))
