@@ -90,7 +90,7 @@ def test_shards(spark):
 
 def test_repeated_rows_and_none(spark):
     assert packing.pack(spark.createDataFrame([], SHAPE)).collect() == []
-    rows = [(1, None, None, 10)] * 50 + [(None, None, None, None or 0)] * 3
+    rows = [(1, None, None, 10)] * 50 + [(None, None, None, 0)] * 3
     got = packing.pack(spark.createDataFrame(rows, SHAPE), 100, 10).collect()
     assert sum(p.n_tokens for p in got) == 500 and len(got) == 53
 
@@ -110,4 +110,4 @@ def test_query(spark):
     for r in docs:
         text = re.sub(r"[\x20\x09-\x0D]+", " ", r.text or "")
         rows[r.doc_id] = (r.source, clusters.setdefault(text, len(clusters)), len(re.findall(r"[^\x20\x09-\x0D]+", text)))
-    rules(rows, packing.query(None or spark, folder).collect(), packing.CAPACITY)
+    rules(rows, packing.query(spark, folder).collect(), packing.CAPACITY)
