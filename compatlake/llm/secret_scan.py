@@ -32,7 +32,7 @@ KNOWN = (
 )
 #: A quicker pattern that every match which counts contains.
 HINTS = {
-    "assign": r"(?i:passw|secret|token|api_?key)[a-z]*[\"']?\x20*[:=]",
+    "assign": r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]",
     "access": "AKIA[A-Z0-9]{16}",
     "hex": "[0-9a-f]{24}",
 }

@@ -104,3 +104,20 @@ def test_query(spark):
         assert (row.n_assign, row.n_access, row.n_hex) == tuple(sum(k == n for _, k, _ in base) for n in range(3))
     plan = secret_scan.query(spark, folder)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_assignments_in_any_case(spark):
+    dice = random.Random(6)
+    found = ["PASSWORD=hunter2222", "DB_PASSWD: abcdef12", "passWORD=abcdefg", "PASSWORD=hunter2222 and token=abcdefgh", "Passwd' :  'abcdef"]
+    names = ["password", "passwd", "secret", "token", "apikey", "api_key"]
+    for _ in range(200):
+        name = "".join(dice.choice([c, c.upper()]) for c in dice.choice(names))
+        quote = dice.choice(["", "'", '"'])
+        found.append(dice.choice(["", "é ", "DB_"]) + name + quote + " " * dice.randint(0, 2) + dice.choice(":=") + " " + quote + "abc123XYZ"[: dice.randint(4, 9)])
+    found.append("\n".join(found))
+    assert sum(len(brute(t)[0]) for t in found[:5]) == 6
+    docs = spark.createDataFrame([(n, t, "x", 1) for n, t in enumerate(found)], SHAPE)
+    for row in secret_scan.scan(docs).collect():
+        assert [(s.start, s.kind, s.end) for s in row.base] == brute(found[row.doc_id])[0], found[row.doc_id]
+    clean = {r.doc_id: r.text for r in secret_scan.redacted(docs).collect()}
+    assert [clean[n] for n in range(5)] == ["[SECRET]", "DB_[SECRET]", "[SECRET]", "[SECRET] and [SECRET]", "[SECRET]"]
