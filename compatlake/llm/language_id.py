@@ -172,36 +172,38 @@ def scores(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.n
     return best, 1 / np.exp(sums - sums.max(axis=1, keepdims=True)).sum(axis=1), has
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """All columns of the documents, and the predicted language and score."""
+def predict(docs: DataFrame, model: Model, text: str = "text", names: tuple[str, ...] = ("lang_pred", "score")) -> DataFrame:
+    """All columns of the documents, the predicted language and score, and if a third name is given, whether there is a letter."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            langs, values = [], []
+            langs, values, letters = [], [], []
             for _, texts in _slices(batch.column(place)):
                 if model.languages:
                     best, score, has = scores(model, texts)
+                    letters += has.tolist()
                     langs += [model.languages[b] if h else UNKNOWN for b, h in zip(best.tolist(), has.tolist())]
                     values.append(np.where(has, score, 0.0))
                 else:
+                    letters += grams(texts, len(model.weights))[2].tolist()
                     langs += [UNKNOWN] * len(texts)
                     values.append(np.zeros(len(texts)))
             values = np.concatenate(values) if values else np.zeros(0)
-            columns = [*batch.columns, pa.array(langs, pa.string()), pa.array(values, pa.float64())]
-            yield pa.record_batch(columns, [*batch.schema.names, *names])
+            made = [pa.array(langs, pa.string()), pa.array(values, pa.float64()), pa.array(letters, pa.bool_())]
+            yield pa.record_batch([*batch.columns, *made[: len(names)]], [*batch.schema.names, *names])
 
-    fields = [T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())]
+    fields = [T.StructField(name, kind) for name, kind in zip(names, (T.StringType(), T.DoubleType(), T.BooleanType()))]
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *fields]))
 
 
 def identified(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """The documents with a language, with all their columns; those without a letter go."""
-    names = free_name(docs, "lang_pred", "score")
+    """The documents with a letter, with all their columns, also where no language could be learned."""
+    names = free_name(docs, "lang_pred", "score", "letter")
     found = predict(docs, train(docs, id, text, lang), text, tuple(names))
-    return found.where(F.col(names[0]) != UNKNOWN).select(docs.columns)
+    return found.where(F.col(names[2])).select(docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -82,6 +82,15 @@ def test_identified_keeps_columns(spark):
     assert {r.doc_id for r in kept.collect()} == {i for i, *_ in rows()} - {900, 901, 902}
 
 
+def test_identified_without_labels(spark):
+    unlabelled = [(n, t, None) for n, t, _ in rows()]
+    held_out = [(n, t, la if n is None or zlib.crc32(str(n).encode()) % 5 == 0 else None) for n, t, la in rows()]
+    named_unknown = [(n, t, "und") for n, t, _ in rows()]
+    for docs in (unlabelled, held_out, named_unknown):
+        kept = language_id.identified(frame(spark, docs)).collect()
+        assert sorted(str(r.doc_id) for r in kept) == sorted(str(n) for n, t, _ in docs if n not in (900, 901, 902))
+
+
 def test_held_out_accuracy(spark):
     folder = "/root/testdata/sf0.01"
     truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
