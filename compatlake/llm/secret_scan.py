@@ -121,7 +121,7 @@ def _weight(n: int) -> float:
 
 def highest_entropy(candidate: Column, window: int) -> Column:
     """Largest Shannon entropy of any window; 0 if the string is shorter."""
-    symbols = F.transform(F.split(candidate, ""), lambda c: F.instr(F.lit(SYMBOLS), c))
+    numbers = F.transform(F.split(candidate, ""), lambda c: F.instr(F.lit(SYMBOLS), c))
     weights = F.array(*[F.lit(_weight(n)) for n in range(window + 2)])
     zero = F.array_repeat(F.lit(0), len(SYMBOLS) + 1)
     start = F.struct(zero.alias("counts"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"), F.lit(1).alias("at"))
@@ -129,7 +129,7 @@ def highest_entropy(candidate: Column, window: int) -> Column:
     def weighed(count: Column) -> Column:
         return F.element_at(weights, count + 1)
 
-    def step(state: Column, entering: Column) -> Column:
+    def step(symbols: Column, state: Column, entering: Column) -> Column:
         full = state["at"] > window
         leaving = F.when(full, F.element_at(symbols, F.greatest(state["at"] - window, F.lit(1)))).otherwise(F.lit(-1))
         counts, same = state["counts"], leaving == entering
@@ -147,7 +147,10 @@ def highest_entropy(candidate: Column, window: int) -> Column:
         best = F.when(state["at"] >= window, F.greatest(state["best"], entropy)).otherwise(state["best"])
         return F.struct(moved.alias("counts"), total.alias("sum"), best.alias("best"), (state["at"] + 1).alias("at"))
 
-    return F.aggregate(symbols, start, step, lambda state: state["best"])
+    def highest(symbols: Column) -> Column:
+        return F.aggregate(symbols, start, lambda state, entering: step(symbols, state, entering), lambda state: state["best"])
+
+    return bind(numbers, highest)
 
 
 def _class_of(candidate: Column) -> Column:

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import threading
 from collections import Counter
 
 import pytest
@@ -121,3 +122,16 @@ def test_assignments_in_any_case(spark):
         assert [(s.start, s.kind, s.end) for s in row.base] == brute(found[row.doc_id])[0], found[row.doc_id]
     clean = {r.doc_id: r.text for r in secret_scan.redacted(docs).collect()}
     assert [clean[n] for n in range(5)] == ["[SECRET]", "DB_[SECRET]", "[SECRET]", "[SECRET] and [SECRET]", "[SECRET]"]
+
+
+def test_long_random_run(spark):
+    dice = random.Random(7)
+    run = "".join(dice.choice(secret_scan.SYMBOLS[:64]) for _ in range(200_000))
+    docs = spark.createDataFrame([(1, f"é {run} x", "x", 1), (2, "xy" * 100_000 + "1", "x", 1)], SHAPE)
+    late = threading.Timer(150, spark.sparkContext.cancelAllJobs)
+    late.start()
+    try:
+        got = {r.doc_id: [(s.start, s.kind, s.end) for s in r.spans] for r in secret_scan.scan(docs).collect()}
+    finally:
+        late.cancel()
+    assert got == {1: [(2, 5, 200_002)], 2: []}
