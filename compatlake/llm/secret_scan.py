@@ -5,7 +5,9 @@ and without overlap. Unknown ones are candidate strings: runs of 20 or more char
 character class (hexadecimal, letters and digits, or base64), and a window of that class's width slides over it.
 Counts per symbol, and with them the sum of ``c * log2(c)``, change only by the symbol that enters and the one that
 leaves, so that every window's Shannon entropy is known in one pass. The candidate is a secret if some window
-exceeds the class's limit, unless a rule of the allow list fits it or a known span overlaps it.
+exceeds the class's limit, unless a rule of the allow list fits it or a known span overlaps it. With ``cut``, known
+spans and the allowed fragments (sample words, rulers, repeats) only end a candidate: what lies outside of them is
+judged by itself, so that a secret joined to one of these is found too.
 
 Positions count code points, ends are exclusive. They come from the lengths of the matches and of the gaps between
 them, summed in blocks, so that a text with very many matches takes no quadratic time. A null or empty text has
@@ -67,6 +69,20 @@ ALLOWED = (
     r"(.)\1{7}",
 )
 
+#: The rules of the allow list that fit a part of a candidate, by the length of the match, longest first; the others
+#: fit a candidate as a whole.
+FRAGMENTS = (
+    (11, "(?i)placeholder|your[_-]secret"),
+    (10, "(?i)abcdefghij|0123456789|your[_-]token|yoursecret"),
+    (9, "(?i)123456789|yourtoken"),
+    (8, "(?i)changeme|redacted|your[_-](?:api|key)"),
+    (7, "(?i)example|your(?:api|key)"),
+    (6, "(?i)sample"),
+    (5, "(?i)dummy"),
+    (8, r"([A-Za-z0-9+/_=-])\1{7}"),
+)
+WHOLE = tuple(rule for rule in ALLOWED if rule.startswith("^"))
+
 KINDS = tuple(kind for kind, *_ in KNOWN) + tuple(c.name for c in CLASSES)
 #: Matches whose starts are summed one after the other.
 BLOCK = 256
@@ -160,9 +176,9 @@ def _class_of(candidate: Column) -> Column:
     return chosen
 
 
-def _allowed(candidate: Column) -> Column:
+def _allowed(candidate: Column, rules: tuple[str, ...] = ALLOWED) -> Column:
     fits = F.lit(False)
-    for pattern in ALLOWED:
+    for pattern in rules:
         fits = fits | candidate.rlike(pattern)
     return fits
 
@@ -188,7 +204,28 @@ def _long_enough(pattern: str, group: int, least: int) -> Callable[[Column], Col
     return lambda m: F.length(m) >= least
 
 
-def with_spans(docs: DataFrame, text: str = "text", names: tuple[str, str] = ("base", "spans")) -> DataFrame:
+def _replaced(text: Column, spans: Column, by: Callable[[Column], Column]) -> Column:
+    """The text with ``by(length)`` in place of each span; ``length`` is that of the part outside earlier spans."""
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(0).cast("long").alias("at"))
+
+    def step(state: Column, span: Column) -> Column:
+        begin = F.greatest(span["start"], state["at"])
+        gap = F.substring(text, (state["at"] + 1).cast("int"), (begin - state["at"]).cast("int"))
+        own = by(F.greatest(span["end"] - begin, F.lit(0)).cast("int"))
+        return F.struct(
+            F.concat(state["done"], F.array(F.concat(gap, own))).alias("done"),
+            F.greatest(state["at"], span["end"]).alias("at"),
+        )
+
+    def finish(state: Column) -> Column:
+        return F.concat(F.array_join(state["done"], ""), F.substring(text, (state["at"] + 1).cast("int"), F.length(text)))
+
+    return F.aggregate(spans, start, step, finish)
+
+
+def with_spans(
+    docs: DataFrame, text: str = "text", names: tuple[str, str] = ("base", "spans"), cut: bool = False
+) -> DataFrame:
     """Adds the known spans and all spans: arrays of (start, kind, end, found) by start and kind (a number of ``KINDS``)."""
     base, spans = names
     whole = text_or_empty(text)
@@ -196,7 +233,15 @@ def with_spans(docs: DataFrame, text: str = "text", names: tuple[str, str] = ("b
         _spans(whole, pattern, HINTS[kind], number, _long_enough(pattern, group, least))
         for number, (kind, pattern, group, least) in enumerate(KNOWN)
     ]
-    candidates = _spans(whole, CANDIDATE, CANDIDATE, len(KNOWN), lambda c: ~_allowed(c))
+    if cut:
+        known = F.array_sort(F.concat(*found))
+        outside = F.when(F.size(known) > 0, bind(known, lambda all_: _replaced(whole, all_, lambda n: F.repeat(F.lit(" "), n)))).otherwise(whole)
+        for length, fragment in FRAGMENTS:
+            outside = F.regexp_replace(outside, fragment, " " * length)
+        outside = F.when(F.rlike(whole, F.lit(CANDIDATE)), outside).otherwise(F.lit(""))
+        candidates = bind(outside, lambda t: _spans(t, CANDIDATE, CANDIDATE, len(KNOWN), lambda c: ~_allowed(c, WHOLE)))
+    else:
+        candidates = _spans(whole, CANDIDATE, CANDIDATE, len(KNOWN), lambda c: ~_allowed(c))
     raw = docs.withColumn(base, F.array_sort(F.concat(*found))).withColumn(spans, candidates)
     free = F.filter(spans, lambda s: ~_overlaps(s, F.col(base)) & _secret(s["found"]))
     classed = F.transform(
@@ -221,7 +266,7 @@ def scan(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     return with_spans(rows).select("doc_id", "base", "spans")
 
 
-def redacted(docs: DataFrame, text: str = "text", by: str = "[SECRET]") -> DataFrame:
+def redacted(docs: DataFrame, text: str = "text", by: str = "[SECRET]", cut: bool = False) -> DataFrame:
     """All documents and columns, each span of the text replaced; spans that overlap become one replacement."""
     base, spans = free_name(docs, "_base", "_spans")
     start = F.struct(F.lit("").alias("done"), F.lit(0).cast("long").alias("at"))
@@ -237,7 +282,7 @@ def redacted(docs: DataFrame, text: str = "text", by: str = "[SECRET]") -> DataF
         return F.concat(state["done"], F.substring(whole, (state["at"] + 1).cast("int"), F.length(whole)))
 
     clean = F.aggregate(F.col(spans), start, step, finish)
-    found = with_spans(docs, text, (base, spans))
+    found = with_spans(docs, text, (base, spans), cut)
     return found.withColumn(text, F.when(F.size(spans) > 0, clean).otherwise(F.col(text))).select(docs.columns)
 
 

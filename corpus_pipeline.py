@@ -28,8 +28,8 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced in the texts; every document stays."""
-    return secret_scan.redacted(docs)
+    """Secrets are replaced in the texts, also those joined to known spans or sample words; every document stays."""
+    return secret_scan.redacted(docs, cut=True)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -135,3 +135,34 @@ def test_long_random_run(spark):
     finally:
         late.cancel()
     assert got == {1: [(2, 5, 200_002)], 2: []}
+
+
+def cut_brute(text):
+    base, _ = brute(text)
+    held = list(text or "")
+    for start, _, end in base:
+        held[start:end] = " " * (end - start)
+    held = "".join(held)
+    for length, pattern in secret_scan.FRAGMENTS:
+        held = re.sub(pattern, " " * length, held, flags=re.ASCII)
+    spans = list(base)
+    for m in re.finditer(secret_scan.CANDIDATE, held, re.ASCII):
+        if not any(re.search(p, m[0]) for p in secret_scan.WHOLE):
+            number, entry = next((n, c) for n, c in enumerate(secret_scan.CLASSES) if re.search(c.pattern, m[0]))
+            if entropy(m[0], entry.window) > entry.limit:
+                spans.append((m.start(), 3 + number, m.end()))
+    return base, sorted(spans)
+
+
+def test_cut_against_brute_force(spark):
+    parts = [t for _, p in secret_scan.FRAGMENTS[:-1] for t in re.sub(r"\(\?i\)|\[_-\]|\(\?:|\)", "", p).split("|")]
+    found = [*texts(), *[f"{p}/q9ZrT4xWv8LmKp2Hs7YbNc5Jd3Fg6Qa1Uw0EiVo" for p in parts], "z" * 9 + "q9ZrT4xWv8LmKp2Hs7Yb" * 2]
+    docs = spark.createDataFrame([(n, t) for n, t in enumerate(found)], "doc_id long, text string")
+    more = 0
+    for row in secret_scan.with_spans(docs, cut=True).collect():
+        base, spans = cut_brute(row.text)
+        assert [(s.start, s.kind, s.end) for s in row.base] == base, row.text
+        assert [(s.start, s.kind, s.end) for s in row.spans] == spans, row.text
+        assert all(s.found == row.text[s.start : s.end] for s in row.spans)
+        more += spans != brute(row.text)[1]
+    assert more > 15
