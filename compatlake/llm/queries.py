@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import (
     bpe,
+    byte_bpe,
     chat_format,
     exact_dedup,
     fingerprints,
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprints": fingerprints.query,
     "op9_language_id": language_id.query,
     "op10_best_fit_packing": packing.query,
+    "op13_byte_bpe": byte_bpe.query,
 }
 
 ORACLE: dict[str, str] = {
