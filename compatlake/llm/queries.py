@@ -14,6 +14,7 @@ from . import (
     fingerprints,
     language_id,
     packing,
+    periodic_runs,
     secret_scan,
     simhash_dedup,
     substring_dedup,
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprints": fingerprints.query,
     "op9_language_id": language_id.query,
     "op10_best_fit_packing": packing.query,
+    "op11_periodic_runs": periodic_runs.query,
     "op13_byte_bpe": byte_bpe.query,
 }
 
