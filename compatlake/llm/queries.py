@@ -10,6 +10,7 @@ from . import (
     bpe,
     byte_bpe,
     chat_format,
+    conversation_repair,
     exact_dedup,
     fingerprints,
     language_id,
@@ -33,6 +34,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": language_id.query,
     "op10_best_fit_packing": packing.query,
     "op11_periodic_runs": periodic_runs.query,
+    "op12_conversation_repair": conversation_repair.query,
     "op13_byte_bpe": byte_bpe.query,
 }
 
