@@ -2,7 +2,9 @@
 
 import hashlib
 import random
+from itertools import accumulate
 
+import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
@@ -19,10 +21,14 @@ def reference(text):
     return ids, REFERENCE.decode(ids, skip_special_tokens=False)
 
 
-def same(text):
+def same(*texts):
+    """One word after the other, and all words together."""
     words = bpe.vocabulary(PATH)
-    ids = words.encode(text)
-    assert (ids, words.decode(ids)) == reference(text), text
+    data = [text.encode() for text in texts]
+    ids, counts = words.encode_all(b"".join(data), [0, *accumulate(map(len, data))])
+    for text, own in zip(texts, np.split(ids, np.cumsum(counts)[:-1])):
+        assert own.tolist() == words.encode(text)
+        assert (own.tolist(), words.decode(own.tolist())) == reference(text), text
 
 
 @pytest.mark.parametrize(
@@ -49,11 +55,26 @@ def test_texts(text):
 def test_random_words():
     dice = random.Random(3)
     syllables = ["th", "e", "an", "in", "er", "re", "on", "a", "at", "ed", "é", "ou", "ß", "n", "s", "ing", "l", "ll", "o"]
-    for _ in range(3000):
-        same("".join(dice.choice(syllables) for _ in range(dice.randint(1, 14))))
-    for letters in ("ab", "aeinorst", "abcdefghijklmnopqrstuvwxyz", "lo"):
-        for _ in range(1500):
-            same("".join(dice.choice(letters) for _ in range(dice.randint(1, 30))))
+    same(*("".join(dice.choice(syllables) for _ in range(dice.randint(1, 14))) for _ in range(3000)))
+    for letters in ("ab", "aeinorst", "abcdefghijklmnopqrstuvwxyz", "lo", "a \ue000b<|", "xé\u0301. "):
+        same(*("".join(dice.choice(letters) for _ in range(dice.randint(0, 60))) for _ in range(1500)))
+
+
+def test_forgetting(monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 20)
+    words = bpe.Vocabulary(PATH)
+    for turn in range(30):
+        text = " ".join(f"word{turn * k}" for k in range(turn)) + " the the"
+        assert words.encode_all(text.encode(), [0, len(text)])[0].tolist() == reference(text)[0]
+
+
+def test_clashing_names_and_odd_ids(spark):
+    docs = spark.createDataFrame([("a b", "x", "y")], "text string, ids string, decoded string")
+    found = bpe.decode(bpe.encode(docs, PATH), PATH, "_ids")
+    assert found.columns == ["text", "ids", "decoded", "_ids", "_decoded"]
+    assert tuple(found.first()) == ("a b", "x", "y", *reference("a b"))
+    lists = spark.createDataFrame([(None,), ([],), ([-1, 10**8, None, 320],)], "ids array<int>")
+    assert [r.decoded for r in bpe.decode(lists, PATH).collect()] == ["", "", bpe.vocabulary(PATH).text[320]]
 
 
 @settings(max_examples=400, deadline=None)
