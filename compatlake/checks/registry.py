@@ -1163,8 +1163,7 @@ def _(data):
 def _(data):
     machines = _machines(data)
     rows = ranking.scored(data.reports(spread=True), now(), [])
-    ranked = ranking.rank_reports(ranking.compare_machines(rows, machines)).select("appid", "machine", "source_report_id", "score", "rank")
-    return ranking.for_requests(ranked, machines).select(*_PAIR, "score", "rank")
+    return ranking.rank_reports(rows, machines).select(*_PAIR, "score", "rank")
 
 
 @check(
@@ -1235,8 +1234,7 @@ def _(data):
 def _(data):
     found = manifests.coverage(data.view("inventory"), data.reports())
     order = [*manifests.coverage_order(), _c("item").asc()]
-    cells = [(_c("has_reports"), True), (F.substring(F.lower("name"), 1, 4), False)]
-    return scaling.number_rows(found, [], order, cells).select("appid", "item", "name", "rank")
+    return scaling.number_rows(found, [], order).select("appid", "item", "name", "rank")
 
 
 # --- F, H: candidates ---------------------------------------------------------------------------
@@ -1581,8 +1579,7 @@ def _(data):
     f"SELECT root, appid, row_number() OVER (PARTITION BY root ORDER BY lower(name), appid) AS rank FROM ({_PLACED_SQL})",
 )
 def _(data):
-    cells = [(F.substring(F.lower("name"), 1, 4), False)]
-    ranked = scaling.number_rows(_placed(data), ["root"], [F.lower("name").asc(), _c("appid").asc()], cells)
+    ranked = scaling.number_rows(_placed(data), ["root"], [F.lower("name").asc(), _c("appid").asc()])
     return ranked.select("root", "appid", "rank")
 
 

@@ -245,8 +245,7 @@ def suggestion_order() -> list[Column]:
 
 
 def rank_suggestions(merged: DataFrame) -> DataFrame:
-    cells = [(scores.confidence_order(F.col("confidence")), True), (F.col("occurrences"), True)]
-    return number_rows(merged, ["appid", "machine"], suggestion_order(), cells)
+    return number_rows(merged, ["appid", "machine"], suggestion_order())
 
 
 def best_suggestions(merged: DataFrame, limit: int) -> DataFrame:

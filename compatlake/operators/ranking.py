@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import scores
 from ..functions.hardware import normalized_profile
 from ..functions.text import text_or_empty
 from ..schemas import NORM_COLUMNS
-from .scaling import number_rows, sliced_join, top_rows
+from .scaling import number_rows, sliced_join, stored, top_rows
 
 
 def with_hardware(df: DataFrame) -> DataFrame:
@@ -66,7 +66,7 @@ def scored(reports: DataFrame, now: Column, keep: list[str]) -> DataFrame:
 def alike(tuples: DataFrame, machines: DataFrame) -> DataFrame:
     """Similarity of every machine that asks for an app to every kind of hardware ``(appid, hardware)`` reported on it."""
     machines = machines.select("appid", "machine").distinct()
-    joined = sliced_join(tuples, machines, "appid", ["hardware"])
+    joined = sliced_join(tuples, machines, ["appid"], ["hardware"])
     return joined.withColumn("similarity", scores.similarity(*similarity_columns()))
 
 
@@ -101,10 +101,6 @@ def rank_order() -> list[Column]:
     ]
 
 
-def _day(ts: str = "ts") -> Column:
-    return F.floor(F.unix_seconds(ts) / 86400)
-
-
 def explain(compared: DataFrame) -> DataFrame:
     """Add the similarity lists and sentence and the reason strings."""
     details = scores.similarity_details(*similarity_columns())
@@ -126,9 +122,45 @@ def explain(compared: DataFrame) -> DataFrame:
     )
 
 
-def rank_reports(compared: DataFrame) -> DataFrame:
-    """All reports numbered per app and machine: score, then newest, then id."""
-    return number_rows(compared, ["appid", "machine"], rank_order(), [(F.col("score"), True), (_day(), True)])
+def score_levels(rows: DataFrame, machines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Cells of reports alike for every machine, and for each machine the cells that score the same.
+
+    Cells: appid, hardware, recency, quality, cell (a number) and reports. Levels: appid, machine, score, cells (sorted
+    numbers), reports and before, the number of the app's reports that score higher: sums over a histogram of at most 1,001 scores.
+    """
+    cells = rows.groupBy("appid", "hardware", "recency", "quality").agg(F.count(F.lit(1)).alias("reports"))
+    cells = stored(cells.withColumn("cell", F.monotonically_increasing_id()))
+    pairs = alike(cells.select("appid", "hardware").distinct(), machines)
+    score = scores.rank_score(F.col("recency"), F.col("similarity"), F.col("quality"))
+    scored_cells = sliced_join(cells, pairs, ["appid", "hardware"], ["cell"]).withColumn("score", score)
+    levels = scored_cells.groupBy("appid", "machine", "score").agg(
+        F.sum("reports").alias("reports"), F.array_sort(F.collect_list("cell")).alias("cells")
+    )
+    higher = Window.partitionBy("appid", "machine").orderBy(F.col("score").desc())
+    higher = F.sum("reports").over(higher.rowsBetween(Window.unboundedPreceding, -1))
+    return cells, stored(levels.withColumn("before", F.coalesce(higher, F.lit(0))))
+
+
+def rank_reports(rows: DataFrame, machines: DataFrame) -> DataFrame:
+    """All scored reports of asked-for apps with score and rank for every request: score, then newest, then id.
+
+    A report's rank is the number of reports that score higher, counted per cell, and its place among those that score
+    the same. Which cells score the same is a set of cells that many machines share, so reports are numbered once
+    for each such set, not for each machine, and meet the requests only then. ``machines`` comes from ``asked``.
+    """
+    machines = stored(machines)
+    rows = stored(rows.join(machines.select("appid").distinct(), "appid", "left_semi"))
+    cells, levels = score_levels(rows, machines)
+    ties = levels.select("appid", "cells", F.col("reports").alias("_rows")).distinct()
+    ties = stored(ties.withColumn("tie", F.monotonically_increasing_id()))
+    members = ties.select("tie", F.explode("cells").alias("cell")).join(cells.drop("reports"), "cell").drop("cell")
+    kind, spread = ["appid", "hardware", "recency", "quality"], ["source_report_id", "source_id", "position"]
+    alike_rows = sliced_join(rows, members, kind, spread, cells.select(*kind, F.col("reports").alias("_rows")))
+    placed = number_rows(alike_rows, ["tie"], rank_order()[1:], "among")
+    asking = levels.join(ties, ["appid", "cells"]).select("appid", "tie", "machine", "score", "before")
+    asking = for_requests(asking, machines).drop("appid")
+    found = sliced_join(placed, asking, ["tie"], spread, ties.select("tie", "_rows"))
+    return found.withColumn("rank", F.col("before") + F.col("among")).drop("tie", "before", "among")
 
 
 def best_reports(rows: DataFrame, machines: DataFrame, limit: int) -> DataFrame:
@@ -145,7 +177,7 @@ def best_reports(rows: DataFrame, machines: DataFrame, limit: int) -> DataFrame:
 def newest_first(reports: DataFrame) -> DataFrame:
     """Reports numbered per app, newest first, larger id first among equals."""
     ties = [F.col(column).desc() for column in ("source_id", "position") if column in reports.columns]
-    return number_rows(reports, ["appid"], [F.col("ts").desc(), F.col("source_report_id").desc(), *ties], [(_day(), True)])
+    return number_rows(reports, ["appid"], [F.col("ts").desc(), F.col("source_report_id").desc(), *ties])
 
 
 def freshness_tally(reports: DataFrame, now: Column) -> DataFrame:

@@ -24,6 +24,8 @@ def local_session(app: str = "compatlake", cores: str = "8", shuffle: int = 8, m
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(shuffle))
+        # small tables, but expressions that are heavy per row: keep all cores busy
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
     )
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)

@@ -1,11 +1,12 @@
 """Exactness where rows are cut into pieces, against brute force."""
 
+import datetime as dt
 import random
 
 from pyspark.sql import functions as F
 
 from compatlake.functions.rules import COMMAND
-from compatlake.operators import launchline, mining, scaling, search
+from compatlake.operators import launchline, mining, ranking, scaling, search
 from compatlake.sources.records import flatten
 
 
@@ -24,8 +25,14 @@ def test_number_rows_with_one_large_group(spark):
 def test_sliced_join_keeps_every_pair(spark):
     large = spark.createDataFrame([(1, n) for n in range(200)] + [(2, 500), (4, 501)], "k int, id int")
     small = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (3, "d")], "k int, v string")
-    got = sorted((r["k"], r["id"], r["v"]) for r in scaling.sliced_join(large, small, "k", ["id"]).collect())
-    assert got == sorted([(1, n, v) for n in range(200) for v in "ab"] + [(2, 500, "c")])
+    expected = sorted([(1, n, v) for n in range(200) for v in "ab"] + [(2, 500, "c")])
+    for share in (scaling.HOT_SHARE, 0.02, 0.9999):  # all keys hot, one of them, none
+        got = scaling.sliced_join(large, small, ["k"], ["id"], share=share).collect()
+        assert sorted((r["k"], r["id"], r["v"]) for r in got) == expected
+    counted = large.groupBy("k").agg(F.count(F.lit(1)).alias("_rows"))
+    got = scaling.sliced_join(large, small, ["k"], ["id"], counted).collect()
+    assert sorted((r["k"], r["id"], r["v"]) for r in got) == expected
+    assert scaling.sliced_join(large.limit(0), small, ["k"], ["id"]).collect() == []
 
 
 def fold(members):
@@ -112,12 +119,54 @@ def test_deep_documents_are_read(spark):
     assert [r["appid"] for r in flatten(deep).collect()] == [1]
 
 
-def test_number_rows_with_cells_ties_and_null_groups(spark):
+def test_number_rows_deals_one_group_to_all_tasks(spark):
+    """One group, one score: only the last part of the order tells its rows apart."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.range(5000).select(F.lit("only").alias("g"), F.lit(1).alias("score"), "id")
+        got = scaling.number_rows(df, ["g"], [F.col("score").desc(), F.col("id").desc()])
+        assert {(r["id"], r["rank"]) for r in got.collect()} == {(n, 5000 - n) for n in range(5000)}
+        written = [path for path in got.inputFiles() if "stored-" in path]
+        assert len(written) >= 4
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert scaling.number_rows(df.limit(0), [], [F.col("id").asc()]).collect() == []
+
+
+def test_ranks_by_counts(spark):
+    """Ranks of all requests against sorting every machine's reports."""
+    rng = random.Random(9)
+    kinds = [("nvidia", "a"), ("amd", "b"), ("amd", None), (None, None)]
+    names = ranking.NORM_COLUMNS
+    value = lambda kind: tuple([*kind] + [None] * (len(names) - 2))
+    shape = ", ".join(f"{name} string" for name in names)
+    rows = [
+        (rng.choice([1, 1, 1, 2, 3]), "s", f"r{rng.randrange(80)}", [n], dt.datetime(2001, 1, rng.randrange(1, 4)),
+         rng.choice([0.05, 1.0, 0.951]), 3, "fresh", rng.choice([0.45, 0.85]), value(rng.choice(kinds)))
+        for n in range(400)
+    ]
+    columns = "appid int, source_id string, source_report_id string, position array<int>, ts timestamp, recency double, age_days int, freshness string, quality double"
+    reports = spark.createDataFrame(rows, f"{columns}, hardware struct<{shape}>")
+    machines = [(p, app, value(kinds[p % 3])) for p in range(6) for app in (1, 2, 9)]
+    machines = spark.createDataFrame(machines, f"profile_id long, appid int, machine struct<{shape}>")
+    expected = {}
+    pairs = ranking.for_requests(ranking.compare_machines(reports, machines), machines).collect()
+    for row in sorted(pairs, key=lambda r: (-r.score, -r.ts.timestamp(), r.source_report_id, r.source_id, r.position)):
+        found = expected.setdefault((row.profile_id, row.appid), [])
+        found.append((row.position[0], row.score))
+    got = {}
+    for row in ranking.rank_reports(reports, machines).collect():
+        got.setdefault((row.profile_id, row.appid), []).append((row["rank"], row.position[0], row.score))
+    assert {k: [(p, s) for _, p, s in sorted(v)] for k, v in got.items()} == expected
+    assert all([r for r, _, _ in sorted(v)] == list(range(1, len(v) + 1)) for v in got.values())
+
+
+def test_number_rows_with_ties_and_null_groups(spark):
     rng = random.Random(2)
     rows = [(rng.choice([None, "hot", "hot", "a"]), rng.choice([None, 1, 2, 3]), n) for n in range(600)]
     df = spark.createDataFrame(rows, "g string, score int, id int").repartition(5)
     order = [F.col("score").desc(), F.col("id").asc()]
-    got = scaling.number_rows(df, ["g"], order, [(F.col("score"), True)]).collect()
+    got = scaling.number_rows(df, ["g"], order).collect()
     expected, count = {}, {}
     for g, _, n in sorted(rows, key=lambda r: (str(r[0]), -(r[1] or 0), r[2])):
         count[g] = count.get(g, 0) + 1
