@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import fields, hardware, runtime, scores, snippets
 from ..functions import text as texts
-from ..operators import launchline, mining, ranking, ratings, scaling, search, tables
+from ..operators import index, launchline, mining, ranking, ratings, scaling, search, tables
 from ..plans import export, recommend
 from ..sources import listing, manifests, probes, records
 from . import sql as q
@@ -1356,18 +1357,48 @@ _NOTE_QUERIES = "SELECT DISTINCT notes AS query_id, regexp_replace(notes, '[^A-Z
     _search_sql(f"SELECT k AS doc_id, {_FIELD_TOKENS} AS tokens FROM reports", _NOTE_QUERIES, ("reports",)),
 )
 def _(data):
-    reports = data.view("reports")
-    queries = reports.where("notes <> ''").select(_c("notes").alias("query_id")).distinct()
-    queries = queries.withColumn("query", F.regexp_replace("query_id", "[^A-Za-z0-9]+", " "))
     # repeated words of a query count as often as they stand there
-    docs = _spread(data, reports.select("k", "title", "notes", "launch_options")).withColumnRenamed("k", "doc_id")
-    return search.search(docs, search.field_tokens(_c("title"), _c("notes"), _c("launch_options")), queries)
+    return _note_hits(data)
+
+
+_FIELDS = ("title", "notes", "launch_options")
+
+
+def _report_index(data: Data) -> index.SearchIndex:
+    """The stored index of report texts, which all queries over one folder read."""
+    docs = _spread(data, data.view("reports").select(_c("k").alias("doc_id"), *_FIELDS))
+    return index.index_of(docs, search.field_tokens(*map(_c, _FIELDS)), "reports by title, notes and launch options")
+
+
+def _note_queries(data: Data) -> DataFrame:
+    notes = data.view("reports").where("notes <> ''").select(_c("notes").alias("query_id")).distinct()
+    return notes.withColumn("query", F.regexp_replace("query_id", "[^A-Za-z0-9]+", " "))
 
 
 def _note_hits(data: Data, limit: int = search.LIMIT) -> DataFrame:
-    reports = data.view("reports").withColumnRenamed("k", "doc_id")
-    queries = reports.where("notes <> ''").select(_c("notes").alias("query_id"), F.regexp_replace("notes", "[^A-Za-z0-9]+", " ").alias("query"))
-    return search.search(reports, search.tokens(F.concat_ws(" ", "title", "notes", "launch_options")), queries.distinct(), limit)
+    return _report_index(data).search(_note_queries(data), limit)
+
+
+@check(
+    "g2_index_after_changes",
+    _search_sql(f"SELECT k AS doc_id, {_FIELD_TOKENS} AS tokens FROM reports", _NOTE_QUERIES, ("reports",)),
+)
+def _(data):
+    """An index of all titles, then changed by the reports that have more to say."""
+    docs = scaling.stored(_spread(data, data.view("reports").select(_c("k").alias("doc_id"), *_FIELDS)))
+    found = index.SearchIndex(data.spark, f"{scaling.shared_folder(data.spark)}/index-{uuid.uuid4().hex}")
+    found.build(docs, search.field_tokens(_c("title")))
+    found.update(docs.where("notes <> '' OR launch_options <> ''"), search.field_tokens(*map(_c, _FIELDS)))
+    return found.search(_note_queries(data))
+
+
+@check(
+    "g2_exhaustive_search",
+    _search_sql(f"SELECT k AS doc_id, {_FIELD_TOKENS} AS tokens FROM reports", _NOTE_QUERIES, ("reports",)),
+)
+def _(data):
+    docs = _spread(data, data.view("reports").select(_c("k").alias("doc_id"), *_FIELDS))
+    return search.search(docs, search.field_tokens(*map(_c, _FIELDS)), _note_queries(data))
 
 
 @check(
