@@ -299,7 +299,7 @@ def _(data):
     ),
 )
 def _(data):
-    table = mining.suggestion_table(data.reports(spread=True), now())
+    table = mining.suggestion_table(mining.mined(data.reports(spread=True), now()))
     newest = F.date_format("newest_report_ts", "yyyy-MM-dd HH:mm:ss").alias("newest")
     return table.select("appid", "kind", "snippet", "occurrences", newest, "confidence")
 
@@ -311,7 +311,7 @@ def _(data):
     ),
 )
 def _(data):
-    return mining.suggestion_sources(data.reports(spread=True), now())
+    return mining.suggestion_sources(mining.mine(data.reports(spread=True)))
 
 
 _RUN_LATEST = "SELECT * FROM runs ORDER BY started_at DESC, id DESC LIMIT 1"

@@ -16,7 +16,7 @@ from .scaling import number_rows, stored, top_rows
 SHOWN = 15
 
 
-def mine(reports: DataFrame, now: Column) -> DataFrame:
+def mine(reports: DataFrame) -> DataFrame:
     """One row per candidate of a report, from one scan and one explode."""
     text = snippets.search_text(F.col("notes"), F.col("launch_options"))
     known = [scores.comparable(F.col(name)).alias(name) for name in NORM_COLUMNS if name in reports.columns]
@@ -25,7 +25,6 @@ def mine(reports: DataFrame, now: Column) -> DataFrame:
         "appid",
         F.concat_ws(":", "source_id", "source_report_id").alias("source_key"),
         "ts",
-        scores.recency(F.col("ts"), now).alias("recency"),
         *machine,
         "launch_options",
         text.alias("_text"),
@@ -41,25 +40,28 @@ def tally(candidates: DataFrame) -> DataFrame:
 
     Rows with ``hardware`` NULL hold the counts, the others one machine category each; both come
     from one pass. Distinct sources are counted after a shuffle on the source too, so an app
-    with very many reports spreads over tasks.
+    with very many reports spreads over tasks. Nothing here depends on the time of asking: the tally can be kept.
     """
     whole = ["appid", "kind", "canonical"]
     counted = candidates.groupingSets([whole, [*whole, "hardware"]], *whole, "hardware").agg(
         F.grouping("hardware").alias("_whole"),
         F.count_distinct("source_key").alias("occurrences"),
-        F.max("recency").alias("recency"),
         F.max("ts").alias("newest"),
     )
-    return counted.withColumn("hardware", F.when(F.col("_whole") == 0, F.col("hardware"))).drop("_whole")
+    counted = counted.withColumn("hardware", F.when(F.col("_whole") == 0, F.col("hardware"))).drop("_whole")
+    return snippets.with_meta(counted, F.when(F.col("hardware").isNull(), F.col("canonical")))
+
+
+def aged(tallied: DataFrame, now: Column) -> DataFrame:
+    """A tally with the best recency of each candidate, which is that of its newest report."""
+    return tallied.withColumn("recency", scores.recency(F.col("newest"), now))
 
 
 def mined(reports: DataFrame, now: Column, machines: DataFrame | None = None) -> DataFrame:
     """Tallied candidates with metadata, stored for all that is made of them; of asked-for apps only, if ``machines`` says which."""
     if machines is not None:
         reports = reports.join(machines.select("appid").distinct(), "appid", "left_semi")
-    tallied = tally(mine(reports, now))
-    whole = F.when(F.col("hardware").isNull(), F.col("canonical"))
-    return stored(snippets.with_meta(tallied, whole))
+    return aged(stored(tally(mine(reports))), now)
 
 
 def score_candidates(tallied: DataFrame, machines: DataFrame) -> DataFrame:
@@ -230,7 +232,11 @@ def labelled_totals(tallied: DataFrame) -> DataFrame:
 
 def suggestions(reports: DataFrame, machines: DataFrame, now: Column) -> DataFrame:
     """Merged suggestions of every app and asking machine. ``reports`` carry the hardware categories."""
-    tallied = mined(reports, now, machines)
+    return suggestions_of(mined(reports, now, machines), machines)
+
+
+def suggestions_of(tallied: DataFrame, machines: DataFrame) -> DataFrame:
+    """Merged suggestions from a tally, such as one that a store keeps (``aged``); nothing is mined."""
     return merge(score_candidates(tallied, machines), labelled_totals(tallied))
 
 
@@ -258,30 +264,39 @@ def shown_suggestions(merged: DataFrame, limit: int = SHOWN) -> DataFrame:
     return best_suggestions(listed, limit)
 
 
-def suggestion_table(reports: DataFrame, now: Column) -> DataFrame:
-    """Stored form of mined snippets per app: counts, newest time and the sources.
+def suggestion_table(tallied: DataFrame) -> DataFrame:
+    """What an aged tally says of snippets per app: counts and newest time.
 
     Without a machine to compare with, confidence is that of the neutral similarity.
     """
-    found = mine(reports, now)
-    return found.groupBy("appid", "kind", F.col("canonical").alias("snippet")).agg(
-        F.count_distinct("source_key").alias("occurrences"),
-        F.max("ts").alias("newest_report_ts"),
-        F.max("recency").alias("_recency"),
-    ).select(
+    return tallied.where(F.col("hardware").isNull()).select(
         "appid",
-        "snippet",
+        F.col("canonical").alias("snippet"),
         "kind",
         "occurrences",
-        "newest_report_ts",
-        scores.suggestion_confidence(F.col("occurrences"), F.lit(0.5), F.col("_recency")).alias("confidence"),
+        F.col("newest").alias("newest_report_ts"),
+        scores.suggestion_confidence(F.col("occurrences"), F.lit(0.5), F.col("recency")).alias("confidence"),
     )
 
 
-def suggestion_sources(reports: DataFrame, now: Column) -> DataFrame:
+def suggestion_sources(candidates: DataFrame) -> DataFrame:
     """Source reports of each mined snippet, one row each; grows with the reports, so it stays unnested."""
-    return (
-        mine(reports, now)
-        .select("appid", F.col("canonical").alias("snippet"), "kind", F.col("source_key").alias("source_report_id"))
-        .distinct()
+    return candidates.select(
+        "appid", F.col("canonical").alias("snippet"), "kind", F.col("source_key").alias("source_report_id")
+    ).distinct()
+
+
+def app_digests(reports: DataFrame) -> DataFrame:
+    """For each app a digest of everything that mining its reports looks at, whatever their order."""
+    known = [name for name in NORM_COLUMNS if name in reports.columns]
+    row = [F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in ("source_id", "source_report_id", "ts", "notes", "launch_options", *known)]
+    digest = F.conv(F.substring(F.sha2(F.concat_ws("\1", *row), 256), 1, 15), 16, 10).cast("decimal(20,0)")
+    other = F.conv(F.substring(F.sha2(F.concat_ws("\1", *row), 256), 16, 15), 16, 10).cast("decimal(20,0)")
+    return reports.groupBy("appid").agg(
+        F.count(F.lit(1)).alias("reports"), F.sum(digest).alias("digest"), F.sum(other).alias("other_digest")
     )
+
+
+def changed_apps(new: DataFrame, old: DataFrame) -> DataFrame:
+    """Apps ``(appid)`` whose reports differ between two tables of digests; those without any now are left out."""
+    return new.join(old, new.columns, "left_anti").select("appid")

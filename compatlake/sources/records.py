@@ -128,13 +128,19 @@ def _opened(df: DataFrame) -> DataFrame:
 def flatten(items: DataFrame) -> DataFrame:
     """Report records in document items ``(archive, position, raw)``, however deep they lie.
 
-    App id, title and path id come down from the containers. A level is one explode in the same stage; nothing is
+    App id, title and path id come down from the containers. Items cut out of a container may carry its other members
+    as JSON (``outer``) and their own path id (``id``). A level is one explode in the same stage; nothing is
     shuffled. Items that are nested deeply are few; what is still closed after some levels is stored and opened again.
     """
     position = F.col("position")
     start_id = F.array_join(F.transform(position, lambda p: p.cast("string")), ":")
     deep = F.coalesce(_depth(F.col("raw")) > LEVELS, F.lit(False))
-    node = _node(F.try_parse_json("raw"), F.lit(0), F.lit(None).cast("string"), start_id, position)
+    appid, title = F.lit(0), F.lit(None).cast("string")
+    if "outer" in items.columns:
+        items, top, app, steam, responses = _objects(items, F.try_parse_json("outer"))
+        own_id = fields.app_id(top, app, steam, responses)
+        appid, title, start_id = F.when(own_id > 0, own_id).otherwise(F.lit(0)), fields.title(top, app), F.col("id")
+    node = _node(F.try_parse_json("raw"), appid, title, start_id, position)
     found = _opened(items.select("archive", node.cast(_NODE).alias("node"))).where("done")
     rest = None if items.where(deep).isEmpty() else stored(_opened(_chosen(items, deep, node))).where("NOT done")
     while rest is not None and not rest.isEmpty():

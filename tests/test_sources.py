@@ -3,14 +3,17 @@
 import datetime as dt
 import io
 import json
+import os
 import tarfile
 
 import pytest
 from pyspark.sql import functions as F
 
+from compatlake.operators import mining
 from compatlake.operators.ranking import with_hardware
 from compatlake.plans import ingest
 from compatlake.sources import archive, manifests, probes
+from compatlake.sources.records import flatten
 
 SPEC = ingest.SourceSpec("snapshot", "snap:", "https://example.org/raw", "open data")
 NOW = dt.datetime(2026, 6, 2)
@@ -89,19 +92,134 @@ def test_meta_needs_name_and_date(spark):
     assert meta.url == "https://example.org/raw/reports_jun1_2026.tar.gz"
 
 
+def items_of(document, size):
+    text = document if isinstance(document, str) else json.dumps(document)
+    return list(archive.document_items(lambda: iter([text[at : at + size] for at in range(0, len(text), size)])))
+
+
 @pytest.mark.parametrize("size", [1, 2, 3, 7, 1000])
 def test_document_items_in_any_chunks(size):
-    document = json.dumps([{"a": "é]\"[{"}, [1, 2], 12345, "x,y", None, True, {"b": {"c": []}}])
-    chunks = iter([document[at : at + size] for at in range(0, len(document), size)])
-    assert [json.loads(text) for _, text in archive.document_items(chunks)] == json.loads(document)
+    document = [{"a": "é]\"[{\\"}, [1, 2], 12345, "x,y\\\"", None, True, {"b": {"c": []}}, "", -1.5e3]
+    found = items_of(document, size)
+    assert [json.loads(text) for _, text, _, _ in found] == document
+    assert [(position, path) for position, _, path, _ in found] == [([n], str(n)) for n in range(len(document))]
+    assert items_of([], size) == items_of({}, size) == []
+
+    beside = {"title": "T{", "appId": 5, "meta": {"reports": [1]}}
+    found = items_of({**beside, "reports": document, "later": "x"}, size)
+    assert [json.loads(text) for _, text, _, _ in found] == document
+    assert {json.dumps(json.loads(outer)) for *_, outer in found} == {json.dumps({**beside, "later": "x"})}
+    found = items_of({"reports": {"k": {"a": 1}, "l": [2]}}, size)
+    assert found == [([0], '{"a": 1}', "k", "{}"), ([1], "[2]", "l", "{}")]
+    found = items_of({"12": [{"a": 1}, {"b": 2}], "+7": {"c": 3}}, size)
+    assert found == [
+        ([0, 0], '{"a": 1}', "12:0", '{"appid": 12}'), ([0, 1], '{"b": 2}', "12:1", '{"appid": 12}'), ([1], '{"c": 3}', "+7", '{"appid": 7}')
+    ]
+    for whole in ({"title": "x", "timestamp": 5}, {"reports": None, "a": 1}, 5, "text"):
+        assert items_of(json.dumps(whole), size) == [([], json.dumps(whole), "", None)]
+    for broken in ('[{"a":1},{"b"', '[1,', '[1 2]', '{"reports": [1}', '{"a": 1} x', '{"a" 1}', "[1] 2", '["\\', "{5: 1}", ""):
+        with pytest.raises(ValueError):
+            items_of(broken, size)
+
+
+@pytest.mark.parametrize("shape", ["array", "reports", "reports by key", "by app"])
+def test_items_give_the_records_of_the_whole_document(spark, shape):
+    """Cut into items or read as one, a document has the same records."""
+    inner = [record(5, "Five"), {"timestamp": 1710000000, "verdict": "yes"}, {"deep": {"reports": [record(6, "Six")]}}, "no"]
+    document = {
+        "array": inner,
+        "reports": {"appId": 77, "title": "Outer", "reports": inner},
+        "reports by key": {"title": "Outer", "reports": {f"k{n}": item for n, item in enumerate(inner)}},
+        "by app": {"101": inner, "102": record(8, "Eight"), "103": {"timestamp": 1710000000}},
+    }[shape]
+    columns = "archive string, position array<bigint>, raw string"
+    cut = [("a", *item) for item in items_of(document, 50)]
+    assert len(cut) > 2
+    names = ["appid", "title", "id", "position", "raw_json"]
+    got = flatten(spark.createDataFrame(cut, f"{columns}, id string, outer string")).select(names).collect()
+    want = flatten(spark.createDataFrame([("a", [], json.dumps(document))], columns)).select(names).collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, want)) and len(want) >= 3
+
+
+def test_long_documents_take_linear_time():
+    import time
+
+    text = json.dumps({"notes": "x" * 200, "list": [{"a": [1, 2, 3]}] * 20})
+    large = "{" + '"reports": {' + ",".join(f'"k{n}": {text}' for n in range(15_000)) + "}}"
+    started = time.time()
+    assert sum(1 for _ in items_of(large, 1 << 16)) == 15_000
+    assert time.time() - started < 30
+    whole = '{"title": "' + "y" * 20_000_000 + '"}'
+    assert len(items_of(whole, 1 << 16)[0][1]) == len(whole)
+
+
+def test_archive_by_uri_with_an_object(spark, tmp_path):
+    path = write_archive(tmp_path / "one.tar.gz", {"reports": {"x": record(11, "Eleven"), "y": record(12, "Twelve")}})
+    rows = archive.read_archives(spark, f"file://{path}").collect()
+    assert [(r["archive"][-7:], r["position"], r["id"]) for r in rows] == [(".tar.gz", [0], "x"), (".tar.gz", [1], "y")]
+    folder = archive.read_archives(spark, tmp_path.as_uri())
+    assert folder.count() == 2
+    store, result = run(spark, f"file://{tmp_path}/store", f"file://{path}", "reports_jun1_2026.tar.gz")
+    assert (result["reports_imported"], result["games_imported"], result["system_infos_imported"]) == (2, 2, 2)
 
 
 def test_broken_archives(spark, tmp_path):
     other = write_archive(tmp_path / "a.tar.gz", [], member="other.json")
     with pytest.raises(ValueError, match="no reports_piiremoved.json"):
         list(archive.archive_items(other))
-    with pytest.raises(ValueError):
-        list(archive.document_items(iter(['[{"a":1},{"b"'])))
+
+
+def test_suggestions_are_mined_for_changed_apps_only(spark, tmp_path):
+    def noted(appid, *notes):
+        return [record(appid, f"Game {appid}", id=f"{appid}-{n}", notes=note) for n, note in enumerate(notes)]
+
+    first = noted(1, "use Proton Experimental", "DXVK_ASYNC=1 helps") + noted(2, "black screen on start") + noted(3, "gamemoderun %command%")
+    path = write_archive(tmp_path / "a.tar.gz", first)
+    store, result = run(spark, tmp_path / "store", path, "reports_jun1_2026.tar.gz")
+    assert result["apps_mined"] == 3
+
+    def table():
+        return {(r["appid"], r["snippet"]): r["occurrences"] for r in store.table("launch_option_suggestions").collect()}
+
+    assert table()[(2, "black screen")] == 1 and (1, "dxvk_async=1") in table()
+    second = first[:2] + noted(2, "black screen on start", "again a black screen") + noted(4, "skip the intro videos")
+    store, result = run(spark, tmp_path / "store", write_archive(tmp_path / "b.tar.gz", second), "reports_jun1_2026.tar.gz")
+    assert {r["appid"] for r in store.table("mined_apps").collect()} == {2, 4} and result["apps_mined"] == 2
+    found = table()
+    assert found[(2, "black screen")] == 2 and (1, "dxvk_async=1") in found and not any(app == 3 for app, _ in found)
+    assert {r["appid"] for r in store.table("suggestion_sources").collect()} == {1, 2, 4}
+    assert {r["appid"] for r in store.table("games").collect()} == {1, 2, 4}
+    # what is kept equals what mining everything gives
+    now = F.lit(NOW)
+    fresh = mining.suggestion_table(mining.mined(store.table("reports"), now))
+    assert sorted(map(tuple, fresh.collect())) == sorted(map(tuple, store.table("launch_option_suggestions").collect()))
+    assert store.table("reports", 1).count() == 4
+    store.expire(keep=1)
+    assert store.versions.numbers() == [2] and store.table("reports").count() == 5
+
+
+def test_two_imports_at_once(spark, tmp_path):
+    """Snapshots of different kinds at the same time: both are there afterwards, whoever came first."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    other = ingest.SourceSpec("other", "other:", "https://example.org/other", "open data")
+    jobs = [
+        (write_archive(tmp_path / "a.tar.gz", [record(1, "One")]), SPEC, "reports_jun1_2026.tar.gz"),
+        (write_archive(tmp_path / "b.tar.gz", [record(2, "Two")]), other, "reports_jun2_2026.tar.gz"),
+    ]
+
+    def load(job):
+        store = ingest.Store(spark, str(tmp_path / "store"))
+        return ingest.import_snapshot(store, job[0], ingest.SnapshotMeta(job[2]), job[1], NOW)["version"]
+
+    with ThreadPoolExecutor(2) as pool:
+        versions = sorted(pool.map(load, jobs))
+    store = ingest.Store(spark, str(tmp_path / "store"))
+    assert versions == [1, 2]
+    assert {r["appid"] for r in store.table("reports").collect()} == {1, 2}
+    assert store.table("import_runs").count() == store.table("sources").count() == 2
+    left = [name for name in os.listdir(tmp_path / "store") if name.startswith(("work-", "data-"))]
+    assert len(left) == 2 and not any(name.startswith("work-") for name in left)
 
 
 MANIFEST = """"AppState"
@@ -235,8 +353,6 @@ def test_clean_path_goes_up_any_number_of_steps(spark):
 
 def test_notes_and_documents_of_any_depth(spark):
     from compatlake.functions import fields
-    from compatlake.sources.records import flatten
-
     deep = {"a": {"b": [{"c": {"d": {"e \"q\"": "deep\ntext"}}}, "item text", 5, None, "no"]}, "x": "shallow: text, {"}
     note = spark.range(1).select(fields.note_texts(F.parse_json(F.lit(json.dumps(deep)))).alias("n")).first()["n"]
     assert note == ['a: b: c: d: e "q": deep\ntext', "a: b: item text", "x: shallow: text, {"]
