@@ -1266,7 +1266,8 @@ _candidate_check("h5_wrapper_candidates", q.WRAPPER_SQL, lambda: snippets.wrappe
     q.query("SELECT appid, source_key, kind, canonical, recency FROM cands", "reports", ctes=q.CANDIDATE_CTES),
 )
 def _(data):
-    return mining.mine(data.reports(spread=True), now()).select("appid", "source_key", "kind", "canonical", "recency")
+    found = mining.mine(data.reports(spread=True)).withColumn("recency", scores.recency(_c("ts"), now()))
+    return found.select("appid", "source_key", "kind", "canonical", "recency")
 
 
 _CURRENT_SQL = (

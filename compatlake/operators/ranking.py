@@ -33,10 +33,10 @@ def with_hardware(df: DataFrame) -> DataFrame:
 
 
 def asked(requests: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Requests ``(profile_id, appid)`` with the comparable categories of the machine, as one value."""
+    """Requests ``(profile_id, appid)`` with the comparable categories of the machine, as one value; worked out once."""
     machine = F.struct(*[scores.comparable(F.col(name)).alias(name) for name in NORM_COLUMNS])
     machines = profiles.select("profile_id", machine.alias("machine"))
-    return requests.select("profile_id", "appid").join(machines, "profile_id")
+    return stored(requests.select("profile_id", "appid").join(machines, "profile_id"))
 
 
 def similarity_columns() -> tuple[dict[str, Column], dict[str, Column]]:
@@ -148,7 +148,6 @@ def rank_reports(rows: DataFrame, machines: DataFrame) -> DataFrame:
     the same. Which cells score the same is a set of cells that many machines share, so reports are numbered once
     for each such set, not for each machine, and meet the requests only then. ``machines`` comes from ``asked``.
     """
-    machines = stored(machines)
     rows = stored(rows.join(machines.select("appid").distinct(), "appid", "left_semi"))
     cells, levels = score_levels(rows, machines)
     ties = levels.select("appid", "cells", F.col("reports").alias("_rows")).distinct()
