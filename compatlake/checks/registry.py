@@ -392,8 +392,8 @@ def _opt(name: str, column: str) -> str:
     return f"""CASE WHEN {column} <> '' THEN '"{name}":"' || {escaped} || '",' ELSE '' END"""
 
 
-_REPORT_JSON_SQL = (
-    "SELECT k, '{' || "
+_REPORT_JSON = (
+    "'{' || "
     + " || ".join(
         [
             _opt("sourceReportId", "source_report_id"),
@@ -408,11 +408,10 @@ _REPORT_JSON_SQL = (
             """'"sourceId":"' || source_id || '"}'""",
         ]
     )
-    + " AS json FROM reports"
 )
 
 
-@check("a13_report_json", q.query(_REPORT_JSON_SQL, "reports"))
+@check("a13_report_json", q.query(f"SELECT k, {_REPORT_JSON} AS json FROM reports", "reports"))
 def _(data):
     return data.view("reports").select("k", export.report_json().alias("json"))
 
@@ -430,7 +429,28 @@ def _(data):
     return games.select("appid", export.game_json().alias("json"))
 
 
-@check("a13_profile_json")
+_PROFILE_MEMBERS = (
+    "gpuVendor gpu_vendor gpuModel gpu_model gpuDriver gpu_driver cpu cpu ramGb ram_gb distro distro kernel kernel sessionType session_type "
+    "desktop desktop"
+).split()
+_NORMAL_MEMBERS = (
+    "gpuVendor norm_gpu_vendor gpuModel norm_gpu_model gpuDriver norm_gpu_driver cpuVendor norm_cpu_vendor cpuClass norm_cpu_class "
+    "ramBucket norm_ram_bucket distroFamily norm_distro_family kernel norm_kernel sessionType norm_session_type"
+).split()
+
+
+def _members_sql(pairs: list[str]) -> str:
+    return ", ".join(f"'{name}', {column}" for name, column in zip(pairs[::2], pairs[1::2]))
+
+
+@check(
+    "a13_profile_json",
+    q.query(
+        f"SELECT profile_id, CAST(json_object({_members_sql(_PROFILE_MEMBERS)}, 'normalized', json_object({_members_sql(_NORMAL_MEMBERS)})) AS VARCHAR) "
+        f"AS json FROM (SELECT *, {q.PROFILE_NORMS} FROM profiles)",
+        "profiles",
+    ),
+)
 def _(data):
     return data.profiles().select("profile_id", export.profile_json().alias("json"))
 
@@ -458,6 +478,85 @@ def _(data):
     )
 
 
+_COVERAGE_SQL = (
+    "SELECT item, '{\"game\":{\"appId\":' || CAST(appid AS VARCHAR) || ',\"name\":' || CAST(to_json(name) AS VARCHAR) || ',\"launcher\":\"steam\"},"
+    "\"installed\":true,\"matchKind\":\"' || CASE WHEN n > 0 THEN 'appid' ELSE '' END || '\",\"hasReports\":' || CASE WHEN n > 0 THEN 'true' ELSE 'false' END "
+    "|| ',\"reportCount\":' || CAST(coalesce(n, 0) AS VARCHAR) || '}' AS json FROM inventory LEFT JOIN (SELECT appid, count(*) AS n FROM reports GROUP BY appid) USING (appid)"
+)
+
+
+@check("a13_coverage_json", q.query(_COVERAGE_SQL, "inventory", "reports"))
+def _(data):
+    covered = manifests.coverage(data.view("inventory"), data.reports())
+    return covered.select("item", export.coverage_json().alias("json"))
+
+
+def _run_sql(prefix: str = "") -> str:
+    return (
+        f"'{{\"id\":\"' || {prefix}id || '\",\"sourceId\":\"' || {prefix}source_id || '\",\"snapshotFilename\":\"f' || {prefix}id || '.tar.gz\",\"snapshotDate\":\"' "
+        f"|| strftime({prefix}started_at, '%Y-%m-%d') || '\",\"sourceUrl\":\"https://example.org/' || {prefix}id || '\",\"license\":\"open\",\"startedAt\":\"' "
+        f"|| strftime({prefix}started_at, '%Y-%m-%dT%H:%M:%SZ') || '\",\"reportCount\":' || CAST({prefix}report_count AS VARCHAR) || ',\"skippedCount\":' "
+        f"|| CAST({prefix}skipped_count AS VARCHAR) || '}}'"
+    )
+
+
+def _full_runs(data: Data) -> DataFrame:
+    return data.view("runs").withColumns(
+        {
+            "snapshot_filename": F.concat(F.lit("f"), "id", F.lit(".tar.gz")),
+            "snapshot_date": _c("started_at").cast("date"),
+            "source_url": F.concat(F.lit("https://example.org/"), "id"),
+            "license": F.lit("open"),
+        }
+    )
+
+
+@check("a13_run_json", q.query(f"SELECT id, {_run_sql()} AS json FROM runs", "runs"))
+def _(data):
+    return _full_runs(data).select("id", export.run_json().alias("json"))
+
+
+@check(
+    "a13_status_json",
+    q.query(
+        "SELECT '{\"dbPath\":\"/store\",\"sourceCount\":' || (SELECT count(*) FROM sources) || ',\"importRunCount\":' || (SELECT count(*) FROM runs) "
+        "|| ',\"gameCount\":' || (SELECT count(*) FROM games) || ',\"reportCount\":' || (SELECT count(*) FROM reports) || ',\"latestImport\":' || "
+        f"{_run_sql('l.')} || '}}' AS json FROM ({_RUN_LATEST}) l",
+        "sources",
+        "runs",
+        "games",
+        "reports",
+    ),
+)
+def _(data):
+    found = tables.status(data.view("sources"), _full_runs(data), data.view("games"), data.reports())
+    return found.select(export.status_json("/store").alias("json"))
+
+
+@check(
+    "a14_games_from_json",
+    q.query(
+        "SELECT appid, name, CASE WHEN appid % 2 = 0 THEN '/games/' || name ELSE '' END AS install_path, launcher, "
+        "CAST(CASE WHEN appid % 3 = 0 THEN appid ELSE 0 END AS BIGINT) AS size_on_disk, CASE WHEN appid % 5 = 0 THEN '-novid \"x\"' ELSE '' END AS existing FROM games",
+        "games",
+    ),
+)
+def _(data):
+    """Games with some of their optional members, written and read again."""
+    games = data.view("games").withColumns(
+        {
+            "install_path": F.when(_c("appid") % 2 == 0, F.concat(F.lit("/games/"), "name")).otherwise(""),
+            "size_on_disk": F.when(_c("appid") % 3 == 0, _c("appid").cast("long")).otherwise(0),
+            "existing": F.when(_c("appid") % 5 == 0, F.lit('-novid "x"')).otherwise(""),
+            "library": F.lit(""),
+            "build_id": F.lit(""),
+            "state_flags": F.lit(4).cast("long"),
+        }
+    )
+    back = export.games_from_json(games.select(export.game_json().alias("json")))
+    return back.select("appid", "name", "install_path", "launcher", "size_on_disk", "existing")
+
+
 # --- B-i: dynamic fields ------------------------------------------------------------------------
 
 
@@ -833,6 +932,28 @@ def _(data):
     return ranking.explain(_compared(data)).select(*_PAIR, _joined("reasons"))
 
 
+_LISTS_SQL = " || ".join(
+    f"',\"{kind}\":' || CAST(to_json({kind}) AS VARCHAR)" for kind in ("matches", "mismatches", "unknowns")
+)
+
+
+@check(
+    "a13_ranked_report_json",
+    q.query(
+        f"SELECT profile_id, appid, source_report_id, '{{\"report\":' || {_REPORT_JSON} || ',\"score\":' || CAST(score AS VARCHAR) || ',\"recencyScore\":' || "
+        "CAST(recency AS VARCHAR) || ',\"systemSimilarity\":' || CAST(similarity AS VARCHAR) || ',\"qualityScore\":' || CAST(quality AS VARCHAR) || ',\"freshness\":\"' "
+        "|| freshness || '\",\"ageDays\":' || CAST(age_days AS VARCHAR) || ',\"similarity\":{\"score\":' || CAST(similarity AS VARCHAR) || "
+        f"{_LISTS_SQL} || ',\"summary\":' || CAST(to_json(summary) AS VARCHAR) || '}},\"reasons\":' || "
+        f"CAST(to_json(string_split({_REASONS_SQL}, '|')) AS VARCHAR) || '}}' AS json FROM said",
+        *q.COMPARED_VIEWS,
+        ctes=_LISTED,
+    ),
+)
+def _(data):
+    keep = ["title", "rating", "launch_options", "notes", "verdict", "proton_version"]
+    return ranking.explain(_compared(data, keep)).select(*_PAIR, export.ranked_report_json().alias("json"))
+
+
 def _machines(data: Data) -> DataFrame:
     return ranking.asked(data.view("requests"), data.profiles())
 
@@ -1127,6 +1248,19 @@ _AGES = (
 )
 
 
+@check(
+    "a13_suggestion_json",
+    _sugg_sql(
+        "profile_id, appid, CAST(json_object('id', id, 'snippet', snippet, 'kind', kind, 'sources', [], 'occurrences', occurrences, 'recencyScore', recency, "
+        "'systemSimilarity', similarity, 'confidence', confidence) AS VARCHAR) AS json",
+        "merged",
+    ),
+)
+def _(data):
+    found = _suggested(data, lambda merged: merged)
+    return found.select("profile_id", "appid", export.suggestion_json().alias("json"))
+
+
 @check("d7_age_warnings", q.query("SELECT * FROM warned", "reports", ctes=_AGES))
 def _(data):
     return ranking.age_warnings(data.reports(), now()).withColumn("warnings", _joined("warnings"))
@@ -1493,7 +1627,41 @@ def _(data):
     return _advice(data).select("profile_id", "appid", "summary")
 
 
-@check("a13_recommendation_json")
+_TEXT = "CAST(to_json({}) AS VARCHAR)".format
+_CITED_JSON = (
+    "(SELECT '\"citations\":[' || string_agg('{\"sourceId\":\"' || r.source_id || '\",\"reportId\":\"' || r.source_report_id || '\",\"appId\":' || CAST(r.appid AS VARCHAR) "
+    f"|| ',\"timestamp\":\"' || strftime(r.ts, '%Y-%m-%dT%H:%M:%SZ') || '\",\"snippet\":' || {_TEXT('substr(r.notes, 1, 180)')} || '}}', ',' ORDER BY r.rank) || '],' "
+    "AS cites, profile_id, appid FROM ranked r WHERE rank <= 5 GROUP BY ALL)"
+)
+_SHOWN_JSON = (
+    "(SELECT '\"suggestions\":[' || string_agg('{\"id\":' || "
+    + " || ',\"".join(
+        [
+            f"{_TEXT('id')}",
+            f"kind\":' || {_TEXT('kind')}",
+            f"snippet\":' || {_TEXT('snippet')}",
+            f"label\":' || {_TEXT('label')}",
+            f"category\":' || {_TEXT('category')}",
+            f"confidence\":' || {_TEXT('confidence')}",
+            "occurrences\":' || CAST(occurrences AS VARCHAR)",
+        ]
+    )
+    + " || '}', ',' ORDER BY rank) || '],' AS items, profile_id, appid FROM shown GROUP BY ALL)"
+)
+
+
+@check(
+    "a13_recommendation_json",
+    q.query(
+        "SELECT profile_id, appid, substr(open_json, 1, length(open_json) - 1) || '}' AS json FROM (SELECT a.profile_id, a.appid, '{\"game\":{\"appId\":' || CAST(a.appid AS VARCHAR) || ',\"name\":' || "
+        f"{_TEXT("coalesce(a.name, '')")} || ',\"launcher\":\"steam\"}},\"summary\":' || {_TEXT('a.summary')} || ',\"generatedBy\":\"rules\",' || "
+        "coalesce(s.items, '') || coalesce(c.cites, '') || CASE WHEN a.warnings = '' THEN '' ELSE '\"warnings\":' || "
+        "CAST(to_json(string_split(a.warnings, '|')) AS VARCHAR) || ',' END AS open_json "
+        f"FROM advice a LEFT JOIN {_CITED_JSON} c USING (profile_id, appid) LEFT JOIN {_SHOWN_JSON} s USING (profile_id, appid))",
+        *_ADVICE_VIEWS,
+        ctes=_ADVICE_CTES,
+    ),
+)
 def _(data):
     return _advice(data).select("profile_id", "appid", export.recommendation_json().alias("json"))
 
@@ -1523,6 +1691,27 @@ def _(data):
     )
 
 
+def _list_sql(name: str, separator: str, column: str, optional: bool) -> str:
+    listed = f"CAST(to_json(string_split({column}, '{separator}')) AS VARCHAR)"
+    none = "''" if optional else f"',\"{name}\":[]'"
+    return f"CASE WHEN {column} = '' THEN {none} ELSE ',\"{name}\":' || {listed} END"
+
+
+@check(
+    "a13_preview_json",
+    q.query(
+        "SELECT line_id, '{' || CASE WHEN existing = '' THEN '' ELSE '\"existing\":' || CAST(to_json(existing) AS VARCHAR) || ',' END || '\"preview\":' || "
+        f"CAST(to_json(preview) AS VARCHAR) || {_list_sql('applied', ',', 'applied', True)} || {_list_sql('skipped', ',', 'skipped', True)} || "
+        f"{_list_sql('warnings', '|', 'warnings', False)} || {_list_sql('conflicts', '|', 'conflicts', False)} || '}}' AS json FROM ({_LINE_SQL})",
+        "lines",
+        "selected",
+        ctes=q.LINE_CTES,
+    ),
+)
+def _(data):
+    return launchline.compose(*_line_inputs(data)).select("line_id", export.preview_json().alias("json"))
+
+
 @check(
     "i5_dashboard",
     q.query(
