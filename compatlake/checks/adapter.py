@@ -175,6 +175,12 @@ UNION ALL SELECT p_type AS query_id, p_type || ' widget' AS query FROM part GROU
 UNION ALL SELECT 'ring ' || p_brand AS query_id, 'ring' AS query FROM part GROUP BY p_brand
 """
 
+# Parts of names of one to seven letters, in capitals every other time.
+_NAME_PARTS = """
+SELECT part AS part_id, CASE WHEN length(part) % 2 = 0 THEN upper(part) ELSE part END AS part
+FROM (SELECT DISTINCT substr(p_name, CAST(1 + p_partkey % 4 AS INT), CAST(1 + p_partkey % 7 AS INT)) AS part FROM part)
+"""
+
 # Launch lines: one per customer, with what is set already; chosen snippets are those of its orders.
 _LINES = """
 SELECT c_custkey AS line_id, CASE c_mktsegment WHEN 'BUILDING' THEN 'MANGOHUD=1 gamemoderun %command% -dx11'
@@ -237,6 +243,7 @@ VIEWS = {
     "inventory": _INVENTORY,
     "names": _NAMES,
     "name_queries": _NAME_QUERIES,
+    "name_parts": _NAME_PARTS,
     "lines": _LINES,
     "selected": _SELECTED,
 }

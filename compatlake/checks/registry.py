@@ -120,6 +120,25 @@ def _(data):
     )
 
 
+_SORTED = "array_to_string(list_sort(string_split({}, '')), '')".format
+
+
+@check(
+    "a4_raw_json_characters",
+    q.query(
+        # a whole number loses its empty fraction
+        f"SELECT k, {_SORTED("replace(raw_json, '.0,', ',')")} AS characters FROM reports WHERE shape IN (0, 1, 2, 4)",
+        "reports",
+    ),
+)
+def _(data):
+    """What is kept of a record has the characters of its text; members may stand in another order."""
+    items = data.view("reports").where("shape IN (0, 1, 2, 4)")
+    items = items.select(_c("k").cast("string").alias("archive"), F.array(F.lit(0).cast("long")).alias("position"), _c("raw_json").alias("raw"))
+    sorted_ = F.array_join(F.array_sort(F.split("raw_json", "")), "")
+    return records.flatten(items).select(_c("archive").cast("long").alias("k"), sorted_.alias("characters"))
+
+
 @check("a4_raw_json_kept")
 def _(data):
     return records.flatten(_items(data)).select("archive", "id", "raw_json")
@@ -1114,6 +1133,14 @@ def _(data):
     return search.name_contains(data.view("names"), "RiNg")
 
 
+@check(
+    "b64_names_of_many_parts",
+    q.query("SELECT part_id, part, doc_id FROM name_parts JOIN names ON contains(lower(name), lower(part))", "names", "name_parts"),
+)
+def _(data):
+    return search.names_containing(data.view("names"), data.view("name_parts")).select("part_id", "part", "doc_id")
+
+
 # --- C: joins -----------------------------------------------------------------------------------
 
 

@@ -7,7 +7,7 @@ import unicodedata
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .scaling import top_rows
+from .scaling import sliced_join, stored, top_rows
 
 # BM25 parameters, the smallest weight of a word, and result limits.
 K1, B = 1.2, 0.75
@@ -115,3 +115,42 @@ def with_games(hits: DataFrame, reports: DataFrame, games: DataFrame) -> DataFra
 def name_contains(names: DataFrame, part: str) -> DataFrame:
     """Rows whose name holds a text in any case."""
     return names.where(F.lower("name").contains(part.lower()))
+
+
+#: Letters of the pieces under which names are found.
+GRAM = 3
+
+
+def _grams(text: Column, least: int = 1) -> Column:
+    """Distinct pieces of up to three letters that start anywhere in a text, of at least so many letters."""
+    places = F.sequence(F.lit(1), F.length(text))
+
+    def pieces(size: int) -> Column:
+        cut = F.transform(places, lambda at: F.substring(text, at, F.lit(size)))
+        return F.filter(cut, lambda piece: F.length(piece) == size)
+
+    found = F.array_distinct(F.concat(*[pieces(size) for size in range(least, GRAM + 1)]))
+    return F.when(F.length(text) > 0, found).otherwise(F.array().cast("array<string>"))
+
+
+def names_containing(names: DataFrame, parts: DataFrame) -> DataFrame:
+    """All pairs of a name ``(doc_id, name)`` and a part ``(part_id, part)`` that it holds in any case.
+
+    Names are found under their pieces of one to three letters: a part meets those under the rarest of its own
+    three-letter pieces (under itself, if it is shorter), and these are looked at in full. Pieces that no part has are left
+    out before anything is shuffled beyond counting. An empty part is in every name, and meets all of them.
+    """
+    parts = stored(parts.select("part_id", "part", F.lower("part").alias("_part")).where("part IS NOT NULL"))
+    own = F.when(F.length("_part") >= GRAM, _grams(F.col("_part"), GRAM)).otherwise(F.array("_part"))
+    pieces = parts.select("part_id", "part", "_part", F.explode(own).alias("gram"))
+    wanted = pieces.select("gram").distinct()
+    low = names.select("doc_id", "name", F.lower("name").alias("_name")).where("name IS NOT NULL")
+    found = low.select("doc_id", "name", "_name", F.explode(F.concat(_grams(F.col("_name")), F.array(F.lit("")))).alias("gram"))
+    found = stored(found.join(wanted, "gram", "left_semi"))
+    counted = stored(found.groupBy("gram").agg(F.count(F.lit(1)).alias("_rows")))
+    rarest = pieces.join(counted, "gram", "left").groupBy("part_id", "part", "_part").agg(
+        F.min(F.struct(F.coalesce("_rows", F.lit(0)).alias("rows"), "gram")).alias("own")
+    )
+    asked = rarest.where("own.rows > 0").select("part_id", "part", "_part", F.col("own.gram").alias("gram"))
+    pairs = sliced_join(found, asked, ["gram"], ["doc_id"], counted)
+    return pairs.where(F.col("_name").contains(F.col("_part"))).select("part_id", "part", "doc_id", "name")

@@ -179,3 +179,12 @@ def test_search_finds_marked_letters(spark):
     queries = spark.createDataFrame([("a", "orseg"), ("b", "cesky"), ("c", "résumé"), ("d", "resume")], "query_id string, query string")
     found = search.search(docs, search.field_tokens(F.col("name")), queries).collect()
     assert {(r["query_id"], r["doc_id"]) for r in found} == {("a", 1), ("b", 2), ("c", 3), ("d", 3)}
+
+
+def test_names_of_many_parts(spark):
+    names = spark.createDataFrame([(1, "Ring of Fire"), (2, "ringing"), (3, ""), (4, None), (5, "İr")], "doc_id long, name string")
+    parts = spark.createDataFrame([("a", "RING"), ("b", "g o"), ("c", "zzz"), ("d", ""), ("e", "i"), ("f", None), ("g", "ingi"), ("g", "ingi")], "part_id string, part string")
+    got = sorted((r["part_id"], r["doc_id"]) for r in search.names_containing(names, parts).collect())
+    low = lambda text: text.lower()
+    want = {(p.part_id, n.doc_id) for p in parts.collect() for n in names.collect() if p.part is not None and n.name is not None and low(p.part) in low(n.name)}
+    assert set(got) == want and len(got) == len(want)
