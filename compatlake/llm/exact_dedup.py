@@ -210,8 +210,13 @@ def screened(groups: DataFrame, against: Snapshot) -> DataFrame:
 def _first_texts(side: Batch, pairs: DataFrame, ids: str, name: str) -> DataFrame:
     """The normalised text of each wanted first row."""
     docs = side.docs.select(F.col(side.id).cast("long").alias("_id"), normalised(side.text).alias(name))
-    met = docs.join(pairs.select("digest", F.col(ids).alias("_wanted")), F.col("_id").eqNullSafe(F.col("_wanted")))
-    return met.where(side.digest(F.col(name)) == F.col("digest")).groupBy("digest").agg(F.min(name).alias(name))
+    wanted = pairs.select("digest", F.col(ids).alias("_id"))
+    known = docs.join(wanted, "_id").where(side.digest(F.col(name)) == F.col("digest"))
+    # rows without an id are all alike in it, so these are met by digest
+    bare = docs.where("_id IS NULL").withColumn("digest", side.digest(F.col(name)))
+    bare = bare.join(wanted.where("_id IS NULL").select("digest"), "digest")
+    met = known.select("digest", name).unionByName(bare.select("digest", name))
+    return met.groupBy("digest").agg(F.min(name).alias(name))
 
 
 def matches(new: Batch, against: Snapshot) -> DataFrame:

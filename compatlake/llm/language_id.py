@@ -140,7 +140,7 @@ def train(
     """Learn from every labelled row outside fold 0."""
     rows = docs.where((fold(id, folds) != 0) & F.col(text).isNotNull() & F.col(lang).isNotNull())
     rows = rows.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
-    labels = docs.select(F.col(lang).cast("string")).dropna().distinct()
+    labels = rows.select("lang").distinct()
     if len(labels.take(most + 1)) > most:
         raise ValueError(f"more than {most} languages; the model is bounded")
     counts = rows.mapInArrow(_counts(buckets), "lang string, bucket long, n long")
@@ -173,7 +173,11 @@ def scores(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", names: tuple[str, ...] = ("lang_pred", "score")) -> DataFrame:
-    """All columns of the documents, the predicted language and score, and if a third name is given, whether there is a letter."""
+    """All columns of the documents, the predicted language and score, and if a third name is given, whether there is a letter.
+
+    Where the table has a column of such a name already, the new one gets underscores before it.
+    """
+    names = tuple(free_name(docs, *names))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index(text)
 

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .common import (
@@ -32,6 +33,8 @@ from .common import (
 )
 
 WIDTH = 50
+#: Bytes from which a word is hashed by XXH3 instead of a polynomial.
+LONG_WORD = 256
 
 _DOC = pa.int64()
 
@@ -43,6 +46,9 @@ class _Windows:
         self.width = width
         self.starts, self.ends, self.first_word = word_bounds(data, offsets)
         self.words = word_hashes(data, self.starts, self.ends)
+        # polynomials modulo 2**64 let very long words be made that share their hash
+        for word in np.flatnonzero(self.ends - self.starts >= LONG_WORD).tolist():
+            self.words[word] = xxhash.xxh3_64_intdigest(data[self.starts[word] : self.ends[word]].tobytes())
         total = max(0, len(self.words) - width + 1)
         at = np.arange(total)
         self.doc = np.searchsorted(self.first_word, at, side="right") - 1

@@ -90,3 +90,14 @@ def test_distinct_keeps_columns(spark):
     assert kept.columns == docs.columns
     want = sorted([(r[0], r[4]) for r in brute(rows()) if r[3]], key=str)
     assert sorted([(r.doc_id, hashlib.sha256(norm(r.text).encode()).hexdigest()) for r in kept.collect()], key=str) == want
+
+
+def test_rows_without_ids_on_both_sides(spark):
+    """Rows without an id meet by digest, not each with each."""
+    held = [(None, f"t{n}") for n in range(300)] + [(1, "t5"), (2, "t900")]
+    new = [(None, f"t{n}") for n in range(200, 500)] + [(3, "t5"), (None, "t900"), (9, "t250")]
+    frames = [spark.createDataFrame([(i, t, "x", 1) for i, t in side], SHAPE) for side in (held, new)]
+    found = exact_dedup.deduplicate(exact_dedup.batch(frames[1]), exact_dedup.snapshot(frames[0]))
+    assert [row[:3] + row[4:] for row in got(found)] == [row[:3] + row[4:] for row in brute(held + new)]
+    named = {row for row in got(found) if row[1] is not None}
+    assert named == {row for row in map(tuple, brute(held + new)) if row[1] is not None}

@@ -99,3 +99,18 @@ def test_held_out_accuracy(spark):
     held = [r for r in got if r.held_out and truth[r.doc_id]]
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
     assert np.mean([r.lang_pred == truth[r.doc_id] for r in held]) > 0.97
+
+
+def test_held_out_labels_do_not_count(spark):
+    """The bound looks at what is learned from alone."""
+    held = [(n, "abc", f"l{n}") for n in range(200) if zlib.crc32(str(n).encode()) % 5 == 0]
+    known = [(n, "abc", "en") for n in range(200) if zlib.crc32(str(n).encode()) % 5]
+    assert len(held) > 5
+    assert language_id.train(frame(spark, held + known), most=5) is not None
+
+
+def test_clashing_names(spark):
+    docs = frame(spark, rows())
+    assert {"score", "lang_pred"} <= set(docs.columns)
+    found = language_id.predict(docs, language_id.train(docs))
+    assert found.columns == [*docs.columns, "_lang_pred", "_score"] and found.select("score", "_score").count() == len(rows())

@@ -64,6 +64,15 @@ def test_against_brute_force(spark, width):
     assert found(spark, rows, width) == brute(rows, width)
 
 
+def test_words_made_to_share_a_polynomial(spark):
+    """A Thue-Morse word and its complement agree in every polynomial hash modulo 2**64."""
+    bits = [bin(n).count("1") & 1 for n in range(1 << 12)]
+    one, two = ("".join("ab"[bit ^ flip] for bit in bits) for flip in (0, 1))
+    rest = " ".join(f"w{n}" for n in range(49))
+    rows = [(1, f"{one} {rest}"), (2, f"{two} {rest}"), (3, f"{one} {rest}"), (4, f"{one[:1024]} {rest}"), (5, f"{two[:1024]} {rest}")]
+    assert found(spark, rows, 50) == brute(rows, 50)
+
+
 def test_empty_table(spark):
     assert found(spark, [], 50) == []
 
