@@ -9,30 +9,38 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import scores, snippets
 from ..functions.rules import COMMAND
+from ..functions.text import text_or_empty
 from ..schemas import NORM_COLUMNS
 from .ranking import alike
-from .scaling import number_rows, stored, top_rows
+from .scaling import number_rows, sliced_join, stored, top_rows
 
 SHOWN = 15
 
 
 def mine(reports: DataFrame) -> DataFrame:
-    """One row per candidate of a report, from one scan and one explode."""
-    text = snippets.search_text(F.col("notes"), F.col("launch_options"))
+    """One row per candidate of a report. Each distinct text is scanned once, however many reports have it.
+
+    Texts are counted first; those that hold a candidate then meet their reports, and a text of very many reports, such as
+    a common launch line, is met in slices.
+    """
     known = [scores.comparable(F.col(name)).alias(name) for name in NORM_COLUMNS if name in reports.columns]
     machine = [F.struct(*known).alias("hardware")] if known else []
+    said = ["notes", "launch_options"]
     rows = reports.select(
         "appid",
         F.concat_ws(":", "source_id", "source_report_id").alias("source_key"),
         "ts",
         *machine,
-        "launch_options",
-        text.alias("_text"),
+        *[text_or_empty(F.col(name)).alias(name) for name in said],
     )
-    rows = rows.withColumn("_low", F.lower("_text"))
-    found = F.explode(snippets.candidates(F.col("_text"), F.col("_low"), F.col("launch_options"))).alias("c")
-    kept = [c for c in rows.columns if c not in ("launch_options", "_text", "_low")]
-    return rows.select(*kept, found).select(*kept, "c.kind", "c.canonical")
+    counted = stored(rows.groupBy(*said).agg(F.count(F.lit(1)).alias("_rows")))
+    texts = counted.withColumn("_text", snippets.search_text(F.col("notes"), F.col("launch_options")))
+    texts = texts.withColumn("_low", F.lower("_text"))
+    found = snippets.candidates(F.col("_text"), F.col("_low"), F.col("launch_options")).alias("_found")
+    texts = stored(texts.select(*said, found).where(F.size("_found") > 0))
+    kept = [c for c in rows.columns if c not in said]
+    mined_ = sliced_join(rows, texts, said, ["source_key"], counted).select(*kept, F.explode("_found").alias("c"))
+    return mined_.select(*kept, "c.kind", "c.canonical")
 
 
 def tally(candidates: DataFrame) -> DataFrame:
