@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.runtime import names_runtime, report_runtime, runtime_key, runtime_label
 from ..functions.scores import percent_yes, rating_tooltip, runtime_tooltip, verdict_badge
-from .scaling import top_rows
+from .scaling import stored, top_rows
 
 # Windows in order, the reports a window needs, and how many are searched for a spelling.
 WINDOWS = (("90 days", 90), ("365 days", 365), ("all time", None))
@@ -66,6 +66,10 @@ def common_runtimes(reports: DataFrame, now: Column) -> DataFrame:
     ``total`` counts reports that name no runtime too, the window test does not.
     """
     yes = with_runtime(reports).where(F.col("verdict") == "yes").withColumn("key", runtime_key(F.col("runtime")))
+    yes = yes.select("appid", "key", "runtime", "ts", "source_report_id")
+    if "runtime" not in reports.columns:
+        # the JSON of a report is parsed once for both of what follows
+        yes = stored(yes)
     named = names_runtime(F.col("key"))
     per_key = yes.groupBy("appid", "key").agg(
         *[F.count_if(in_window(F.col("ts"), now, days)).alias(f"n_{at}") for at, (_, days) in enumerate(WINDOWS)]
@@ -98,7 +102,7 @@ def common_runtimes(reports: DataFrame, now: Column) -> DataFrame:
         .where(F.col("raw_value").isNotNull())
     )
     newest = top_rows(
-        yes.select("appid", "key", "runtime", "ts", "source_report_id"),
+        yes,
         ["appid"],
         [F.col("ts").desc(), F.col("source_report_id").desc()],
         SPELLING_ROWS,
