@@ -122,23 +122,23 @@ def test_document_items_in_any_chunks(size):
             items_of(broken, size)
 
 
-@pytest.mark.parametrize("shape", ["array", "reports", "reports by key", "by app"])
-def test_items_give_the_records_of_the_whole_document(spark, shape):
+def test_items_give_the_records_of_the_whole_document(spark):
     """Cut into items or read as one, a document has the same records."""
     inner = [record(5, "Five"), {"timestamp": 1710000000, "verdict": "yes"}, {"deep": {"reports": [record(6, "Six")]}}, "no"]
-    document = {
+    documents = {
         "array": inner,
         "reports": {"appId": 77, "title": "Outer", "reports": inner},
         "reports by key": {"title": "Outer", "reports": {f"k{n}": item for n, item in enumerate(inner)}},
         "by app": {"101": inner, "102": record(8, "Eight"), "103": {"timestamp": 1710000000}},
-    }[shape]
+    }
     columns = "archive string, position array<bigint>, raw string"
-    cut = [("a", *item) for item in items_of(document, 50)]
-    assert len(cut) > 2
-    names = ["appid", "title", "id", "position", "raw_json"]
+    cut = [(shape, *item) for shape, document in documents.items() for item in items_of(document, 50)]
+    whole = [(shape, [], json.dumps(document)) for shape, document in documents.items()]
+    names = ["archive", "appid", "title", "id", "position", "raw_json"]
     got = flatten(spark.createDataFrame(cut, f"{columns}, id string, outer string")).select(names).collect()
-    want = flatten(spark.createDataFrame([("a", [], json.dumps(document))], columns)).select(names).collect()
-    assert sorted(map(repr, got)) == sorted(map(repr, want)) and len(want) >= 3
+    want = flatten(spark.createDataFrame(whole, columns)).select(names).collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+    assert {shape: sum(r.archive == shape for r in want) for shape in documents} == {"array": 3, "reports": 3, "reports by key": 3, "by app": 5}
 
 
 def test_long_documents_take_linear_time():
