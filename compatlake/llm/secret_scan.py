@@ -286,12 +286,14 @@ def redacted(docs: DataFrame, text: str = "text", by: str = "[SECRET]", cut: boo
     return found.withColumn(text, F.when(F.size(spans) > 0, clean).otherwise(F.col(text))).select(docs.columns)
 
 
+def count_of(spans: Column, kind: int) -> Column:
+    """Number of spans of a kind; the lambda takes one argument only, a second one would be the place in the array."""
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """op5: every whole text of documents."""
     found = scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    counts = [
-        F.size(F.filter("base", lambda s, n=number: s["kind"] == n)).cast("long").alias(f"n_{kind}")
-        for number, (kind, *_) in enumerate(KNOWN)
-    ]
+    counts = [count_of(F.col("base"), number).alias(f"n_{kind}") for number, (kind, *_) in enumerate(KNOWN)]
     digest = F.sha2(written(F.col("base")).cast("binary"), 256).alias("base_sha256")
     return found.select("doc_id", *counts, digest, written(F.col("spans")).alias("spans"))
