@@ -188,3 +188,28 @@ def test_names_of_many_parts(spark):
     low = lambda text: text.lower()
     want = {(p.part_id, n.doc_id) for p in parts.collect() for n in names.collect() if p.part is not None and n.name is not None and low(p.part) in low(n.name)}
     assert set(got) == want and len(got) == len(want)
+
+
+def test_reports_are_explained_once_per_machine(spark):
+    """What is said of a report and a machine is the same for all its requests, and none of it is worked out per request."""
+    rng = random.Random(11)
+    names = ranking.NORM_COLUMNS
+    kinds = [["nvidia", "rtx 3070"], ["amd", "rx 6800"], ["amd", None], [None, None]]
+    norm = lambda: rng.choice(kinds) + [rng.choice([None, "a1b2c3", "unknown"]) for _ in names[2:]]
+    shape = ", ".join(f"{name} string" for name in names)
+    rows = [
+        (rng.choice([1, 1, 2, 3, None]), "s", f"r{n}", [n], dt.datetime(2000, rng.randrange(1, 13), 2), rng.choice(["gold", "", None]),
+         rng.choice(["%command%", "", None]), rng.choice(["x=1", None]), rng.choice(["yes", None]), *norm())
+        for n in range(60)
+    ]
+    columns = "appid int, source_id string, source_report_id string, position array<int>, ts timestamp, rating string, launch_options string, notes string, verdict string"
+    reports = spark.createDataFrame(rows, f"{columns}, {shape}")
+    profiles = spark.createDataFrame([(p, *norm()) for p in range(5)] + [(5, *[None] * len(names))], f"profile_id long, {shape}")
+    requests = spark.createDataFrame([(p, app) for p in range(6) for app in (1, 2, 9)], "profile_id long, appid int")
+    now, keep, said = F.lit("2001-08-02").cast("timestamp"), ["launch_options"], ["matches", "mismatches", "unknowns", "similarity_summary", "reasons"]
+    got = ranking.compare_explained(reports, requests, profiles, now, keep, lambda: said)
+    key = ["profile_id", "appid", "source_report_id"]
+    want = ranking.explain(ranking.compare(reports, requests, profiles, now, keep)).select(*key, *said)
+    assert sorted(map(repr, got.select(*key, *said).collect())) == sorted(map(repr, want.collect()))
+    assert want.count() == 6 * sum(r[0] in (1, 2) for r in rows)
+    assert "recency" not in got._jdf.queryExecution().optimizedPlan().toString()
