@@ -13,6 +13,8 @@ from .scaling import sliced_join, stored, top_rows
 K1, B = 1.2, 0.75
 LEAST_WEIGHT = 1e-6
 LIMIT, MOST = 20, 100
+#: Words of documents that meet words of queries in one task.
+HITS = 500_000
 #: Small Latin letters with marks of all blocks, by their canonical decomposition, and the letters they are searched as.
 _FOLDS = {
     chr(code): unicodedata.normalize("NFD", chr(code))[0]
@@ -75,29 +77,36 @@ def search(docs: DataFrame, text: Column, queries: DataFrame, limit: int = LIMIT
     doc_count = totals.select("docs").scalar()
     word_count = totals.select("words").scalar()
 
-    steps = query_phrases(queries)
+    steps = stored(query_phrases(queries))
     wanted = steps.groupBy("query_id").agg(F.count_distinct("phrase").alias("_wanted"))
     places = tokenised.select("doc_id", length.alias("doc_length"), F.posexplode("_tokens").alias("at", "token"))
     # a single token counts wherever it is; a phrase counts where all its steps start at one place
     start = F.when(F.col("length") > 1, F.col("at") - F.col("step")).otherwise(F.lit(0))
     group = ["query_id", "phrase", "doc_id"]
+    # words that no query has are left out first; documents with a word of many are dealt out over slices
+    places = stored(places.join(steps.select("token").distinct(), "token", "left_semi"))
+    counted = stored(places.groupBy("token").agg(F.count(F.lit(1)).alias("_rows")))
+    said = steps.groupBy("token").agg(F.count(F.lit(1)).alias("_said"))
+    all_hits = counted.join(said, "token").agg(F.sum(F.col("_rows") * F.col("_said"))).first()[0] or 0
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-all_hits // HITS))
     hits = (
-        places.join(steps, "token")
+        sliced_join(places, steps, ["token"], ["doc_id"], counted)
+        .repartition(tasks, "query_id", "doc_id")
         .groupBy(*group, "doc_length", "length", start.alias("_start"))
         .agg(F.count(F.lit(1)).alias("_steps"))
     )
     times = F.when(F.col("length") == 1, F.col("_steps")).otherwise((F.col("_steps") == F.col("length")).cast("bigint"))
-    found = (
+    found = stored(
         hits.groupBy(*group, "doc_length").agg(F.sum(times).alias("times")).where(F.col("times") > 0)
     )
-    spread = found.groupBy("query_id", "phrase").agg(F.count(F.lit(1)).alias("_containing"))
+    spread = stored(found.groupBy("query_id", "phrase").agg(F.count(F.lit(1)).alias("_containing")))
     weight = F.greatest(
         F.ln((doc_count - F.col("_containing") + 0.5) / (F.col("_containing") + 0.5)), F.lit(LEAST_WEIGHT)
     )
     relative = F.col("doc_length") / (word_count / doc_count)
     part = weight * (F.col("times") * (K1 + 1.0)) / (F.col("times") + K1 * (1.0 - B + B * relative))
     scored = (
-        found.join(spread, ["query_id", "phrase"])
+        sliced_join(found, spread, ["query_id", "phrase"], ["doc_id"], spread.withColumn("_rows", F.col("_containing")))
         .groupBy("query_id", "doc_id")
         .agg(F.round(F.sum(part), 6).alias("score"), F.count(F.lit(1)).alias("_found"))
         .join(wanted, "query_id")

@@ -213,3 +213,17 @@ def test_reports_are_explained_once_per_machine(spark):
     assert sorted(map(repr, got.select(*key, *said).collect())) == sorted(map(repr, want.collect()))
     assert want.count() == 6 * sum(r[0] in (1, 2) for r in rows)
     assert "recency" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_search_deals_out_frequent_words(spark, monkeypatch):
+    """A word of all documents is counted by as many tasks as its number asks for."""
+    monkeypatch.setattr(search, "HITS", 200)
+    docs = spark.createDataFrame([(n, "ring " * (1 + n % 3) + f"n{n}") for n in range(1500)], "doc_id int, name string")
+    queries = spark.createDataFrame([(f"q{n}", "RING") for n in range(3)] + [("one", "ring n7"), ("none", "bolt")], "query_id string, query string")
+    got = search.search(docs, search.tokens(F.col("name")), queries)
+    assert len([path for path in got.inputFiles() if "stored-" in path]) > 20
+    rows = {}
+    for row in got.collect():
+        rows.setdefault(row["query_id"], []).append((row["rank"], row["doc_id"]))
+    assert [doc for _, doc in sorted(rows["q0"])] == list(range(2, 60, 3)) and rows["q1"] and sorted(rows["q2"]) == sorted(rows["q0"])
+    assert rows["one"] == [(1, 7)] and set(rows) == {"q0", "q1", "q2", "one"}
