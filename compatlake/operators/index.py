@@ -30,6 +30,7 @@ MOST_PARTS = 8
 #: Up to so many words are named in the scan of blocks, which then passes over the pages of other words; beyond, the join alone selects.
 NAMED = 500
 
+_SCORED = ["doc_id", "doc_length", "times"]
 _POSTING = ["number", "doc_id", "doc_length", "times", "places"]
 
 
@@ -48,11 +49,12 @@ def _tokenised(docs: DataFrame, text: Column) -> DataFrame:
 
 
 def _postings(numbered: DataFrame) -> DataFrame:
-    """Word, block and posting of each word of numbered documents, with all its places."""
+    """Word, block and posting of each word of numbered documents, with all its places; dealt by ranges of word and block."""
     places = numbered.select("number", "doc_id", "doc_length", F.posexplode("_tokens").alias("at", "token"))
-    found = places.where("token <> ''").groupBy("number", "doc_id", "doc_length", "token")
+    places = places.where("token <> ''").withColumn("block", F.expr(f"number div {BLOCK}")).repartitionByRange("token", "block")
+    found = places.groupBy("token", "block", "number", "doc_id", "doc_length")
     found = found.agg(F.array_sort(F.collect_list("at")).alias("places")).withColumn("times", F.size("places"))
-    return found.select("token", F.expr(f"number div {BLOCK}").alias("block"), F.struct(*_POSTING).alias("posting"))
+    return found.select("token", "block", F.struct(*_POSTING).alias("posting"))
 
 
 def _described(blocks: DataFrame) -> DataFrame:
@@ -110,10 +112,14 @@ class SearchIndex:
 
     # --- writing -------------------------------------------------------------------------------
 
-    def _write(self, blocks: DataFrame, documents: DataFrame) -> str:
-        """Both tables in folders of their own; blocks sorted by word, so that row groups can be passed over."""
+    def _write(self, blocks: DataFrame, documents: DataFrame, dealt: bool = False) -> str:
+        """Both tables in folders of their own; blocks sorted by word, so that row groups can be passed over.
+
+        ``dealt``: blocks lie in ranges of word and block already.
+        """
         part = uuid.uuid4().hex
-        blocks.repartitionByRange("token", "block").sortWithinPartitions("token", "block").write.parquet(f"{self.root}/blocks-{part}")
+        blocks = blocks if dealt else blocks.repartitionByRange("token", "block")
+        blocks.sortWithinPartitions("token", "block").write.parquet(f"{self.root}/blocks-{part}")
         documents.write.parquet(f"{self.root}/documents-{part}")
         return part
 
@@ -135,7 +141,7 @@ class SearchIndex:
         blocks = _postings(numbered).groupBy("token", "block").agg(F.array_sort(F.collect_list("posting")).alias("postings"))
         words = F.array_except(F.array_distinct("_tokens"), F.array(F.lit("")))
         documents = numbered.select("doc_id", "number", "doc_length", words.alias("words"), F.lit(False).alias("gone"))
-        part = self._write(_described(blocks), documents)
+        part = self._write(_described(blocks), documents, dealt=True)
         totals = numbered.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("doc_length"), F.lit(0)).alias("words")).first()
         state = {"parts": [part], "documents": totals["n"], "words": totals["words"], "next": totals["n"]}
         self._publish(version, state)
@@ -277,11 +283,13 @@ class SearchIndex:
             """Scores of the documents of some blocks of queries."""
             rows = chosen.select("query_id", "block").join(terms.select("query_id", "term", "weight"), "query_id")
             rows = rows.join(known.select("term", "block", "part"), ["term", "block"])
-            held = self._parts("blocks", state, named).select(F.col("token").alias("term"), "block", "part", "postings")
+            # plain lists of what is scored take a fraction of whole postings, and places are not read
+            lists = [F.col(f"postings.{name}").alias(name) for name in _SCORED]
+            held = self._parts("blocks", state, named).select(F.col("token").alias("term"), "block", "part", *lists)
             if phrases is not None:
-                held = held.unionByName(phrases.select(F.col("token").alias("term"), "block", F.lit(-1).alias("part"), "postings"))
+                held = held.unionByName(phrases.select(F.col("token").alias("term"), "block", F.lit(-1).alias("part"), *lists))
             rows = held.join(rows, ["term", "block", "part"]).repartition("query_id", "block")
-            rows = rows.select("query_id", "block", "weight", F.explode("postings").alias("p"))
+            rows = rows.select("query_id", "block", "weight", F.explode(F.arrays_zip(*_SCORED)).alias("p"))
             part = F.col("weight") * _bound(F.col("p.times"), F.col("p.doc_length"), average)
             found = rows.groupBy("query_id", "block", F.col("p.doc_id").alias("doc_id")).agg(
                 F.round(F.sum(part), 6).alias("score"), F.count(F.lit(1)).alias("wanted")
