@@ -225,5 +225,6 @@ def test_search_deals_out_frequent_words(spark, monkeypatch):
     rows = {}
     for row in got.collect():
         rows.setdefault(row["query_id"], []).append((row["rank"], row["doc_id"]))
-    assert [doc for _, doc in sorted(rows["q0"])] == list(range(2, 60, 3)) and rows["q1"] and sorted(rows["q2"]) == sorted(rows["q0"])
+    # a word of all documents has the least weight: scores are alike, and ids decide
+    assert all([doc for _, doc in sorted(rows[q])] == list(range(20)) for q in ("q0", "q1", "q2"))
     assert rows["one"] == [(1, 7)] and set(rows) == {"q0", "q1", "q2", "one"}
