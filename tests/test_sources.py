@@ -366,3 +366,44 @@ def test_notes_and_documents_of_any_depth(spark):
     items = [("a", [0], json.dumps(nested)), ("a", [1], json.dumps(record_)), ("a", [2], json.dumps([[[[[[]]]]]]))]
     found = flatten(spark.createDataFrame(items, "archive string, position array<bigint>, raw string")).collect()
     assert sorted((r["appid"], r["position"][0]) for r in found) == [(7, 0), (7, 1)]
+
+
+def _reads(df) -> int:
+    """How often a plan cuts texts into tokens."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all")
+
+
+def test_manifests_are_read_once_where_they_are_dealt_out(spark):
+    texts = [(f"/q/steamapps/appmanifest_{n}.acf", f'"AppState" {{ "appid" "{n}" }}') for n in range(20)]
+    games = manifests.installed_games(_text_rows(spark, texts).repartition(4, "path"))
+    assert _reads(games) == 1
+    assert sorted(r["appid"] for r in games.collect()) == list(range(1, 20))
+
+
+def test_inventory_of_many_roots(spark, monkeypatch):
+    """Shared, unlisted and missing libraries, options for some roots; the pairs are made by many tasks, none of which has most."""
+    monkeypatch.setattr(manifests, "PLACED", 100, raising=False)
+    games = [(lib, f"{lib}/{n}", n % 37, f"Game {n % 7}") for lib in ("/a", "/b", "/r1", "/alone", None) for n in range(40)]
+    libraries = [(f"/r{n}", at, lib) for n in range(30) for at, lib in enumerate([f"/r{n}", "/a", "/far"] + ["/b"] * (n % 3 == 0))]
+    options = [(f"/r{n}", app, f"opt {n}") for n in range(0, 30, 4) for app in (1, 2, 99)]
+    frames = (
+        spark.createDataFrame(games, "library string, path string, appid int, name string").coalesce(1),
+        spark.createDataFrame(libraries, "root string, pos int, library string").coalesce(1),
+        spark.createDataFrame(options, "root string, appid int, existing string").coalesce(1),
+    )
+    known, roots = {(root, app): said for root, app, said in options}, {}
+    for root, _, lib in libraries:
+        roots.setdefault(lib, []).append(root)
+    want = [(root, *game[2:], known.get((root, game[2]), "")) for game in games for root in roots.get(game[0], [game[0]])]
+    columns = ["root", "appid", "name", "existing"]
+    found = manifests.inventory(*frames).select(*columns, F.spark_partition_id().alias("task")).collect()
+    order = lambda row: tuple(str(value) for value in row)
+    assert sorted((tuple(r)[:4] for r in found), key=order) == sorted(want, key=order)
+    tasks = [r["task"] for r in found]
+    assert max(map(tasks.count, set(tasks))) < len(tasks) / 4
+    ranked = manifests.ranked_inventory(*frames, [F.lower("name").asc(), F.col("appid").asc()]).select(*columns, "rank").collect()
+    placed = {}
+    for row in sorted(want, key=lambda row: (row[2].lower(), row[1])):
+        placed.setdefault(row[0], []).append(row)
+    numbered = [(*row, at + 1) for rows in placed.values() for at, row in enumerate(rows)]
+    assert sorted(map(tuple, ranked), key=order) == sorted(numbered, key=order)
