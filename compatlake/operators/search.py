@@ -15,6 +15,8 @@ LEAST_WEIGHT = 1e-6
 LIMIT, MOST = 20, 100
 #: Words of documents that meet words of queries in one task.
 HITS = 500_000
+#: Names that meet a part in one task.
+MEETINGS = 2_000_000
 #: Small Latin letters with marks of all blocks, by their canonical decomposition, and the letters they are searched as.
 _FOLDS = {
     chr(code): unicodedata.normalize("NFD", chr(code))[0]
@@ -146,20 +148,24 @@ def names_containing(names: DataFrame, parts: DataFrame) -> DataFrame:
     """All pairs of a name ``(doc_id, name)`` and a part ``(part_id, part)`` that it holds in any case.
 
     Names are found under their pieces of one to three letters: a part meets those under the rarest of its own
-    three-letter pieces (under itself, if it is shorter), and these are looked at in full. Pieces that no part has are left
-    out before anything is shuffled beyond counting. An empty part is in every name, and meets all of them.
+    three-letter pieces (under itself, if it is shorter), and these are looked at in full. Pieces are counted first, so that
+    names are shuffled only under pieces that are the rarest of some part, by as many tasks as there are meetings to make.
+    An empty part is in every name, and meets all of them.
     """
     parts = stored(parts.select("part_id", "part", F.lower("part").alias("_part")).where("part IS NOT NULL"))
     own = F.when(F.length("_part") >= GRAM, _grams(F.col("_part"), GRAM)).otherwise(F.array("_part"))
     pieces = parts.select("part_id", "part", "_part", F.explode(own).alias("gram"))
-    wanted = pieces.select("gram").distinct()
     low = names.select("doc_id", "name", F.lower("name").alias("_name")).where("name IS NOT NULL")
-    found = low.select("doc_id", "name", "_name", F.explode(F.concat(_grams(F.col("_name")), F.array(F.lit("")))).alias("gram"))
-    found = stored(found.join(wanted, "gram", "left_semi"))
-    counted = stored(found.groupBy("gram").agg(F.count(F.lit(1)).alias("_rows")))
+    found = low.select("doc_id", "name", F.explode(F.concat(_grams(F.col("_name")), F.array(F.lit("")))).alias("gram"))
+    counted = stored(found.groupBy("gram").agg(F.count(F.lit(1)).alias("_rows")).join(pieces.select("gram").distinct(), "gram", "left_semi"))
     rarest = pieces.join(counted, "gram", "left").groupBy("part_id", "part", "_part").agg(
         F.min(F.struct(F.coalesce("_rows", F.lit(0)).alias("rows"), "gram")).alias("own")
     )
-    asked = rarest.where("own.rows > 0").select("part_id", "part", "_part", F.col("own.gram").alias("gram"))
-    pairs = sliced_join(found, asked, ["gram"], ["doc_id"], counted)
-    return pairs.where(F.col("_name").contains(F.col("_part"))).select("part_id", "part", "doc_id", "name")
+    asked = stored(rarest.where("own.rows > 0").select("part_id", "part", "_part", F.col("own.gram").alias("gram")))
+    meetings = asked.groupBy("gram").agg(F.count(F.lit(1)).alias("_parts")).join(counted, "gram")
+    meetings = stored(meetings.select("gram", (F.col("_rows") * F.col("_parts")).alias("_rows")))
+    tasks = -(-(meetings.agg(F.sum("_rows")).first()[0] or 0) // MEETINGS)
+    tasks = max(names.sparkSession.sparkContext.defaultParallelism, tasks)
+    found = found.join(meetings.select("gram"), "gram", "left_semi")
+    pairs = sliced_join(found, asked, ["gram"], ["doc_id"], meetings, tasks=tasks)
+    return pairs.where(F.lower("name").contains(F.col("_part"))).select("part_id", "part", "doc_id", "name")

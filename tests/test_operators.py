@@ -190,6 +190,18 @@ def test_names_of_many_parts(spark):
     assert set(got) == want and len(got) == len(want)
 
 
+def test_names_meet_parts_in_many_tasks(spark, monkeypatch):
+    """Names are shuffled under the chosen pieces alone, and more names go to more tasks, not to larger ones."""
+    monkeypatch.setattr(search, "MEETINGS", 100, raising=False)
+    names = spark.createDataFrame([(n, f"{word} number {n}") for n in range(300) for word in ("ring", "bolt")], "doc_id long, name string").coalesce(1)
+    parts = spark.createDataFrame([("a", "NUMBER"), ("b", "n"), ("c", "ring num"), ("d", "zzz"), ("e", "")], "part_id string, part string")
+    found = search.names_containing(names, parts).select("part_id", "doc_id", "name", F.spark_partition_id().alias("task")).collect()
+    want = [(p.part_id, n.doc_id, n.name) for p in parts.collect() for n in names.collect() if p.part.lower() in n.name.lower()]
+    assert sorted(tuple(r)[:3] for r in found) == sorted(want)
+    tasks = [r["task"] for r in found]
+    assert len(set(tasks)) >= 12 and max(map(tasks.count, set(tasks))) < len(tasks) / 4
+
+
 def test_reports_are_explained_once_per_machine(spark):
     """What is said of a report and a machine is the same for all its requests, and none of it is worked out per request."""
     rng = random.Random(11)
