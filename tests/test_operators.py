@@ -240,3 +240,40 @@ def test_search_deals_out_frequent_words(spark, monkeypatch):
     # a word of all documents has the least weight: scores are alike, and ids decide
     assert all([doc for _, doc in sorted(rows[q])] == list(range(20)) for q in ("q0", "q1", "q2"))
     assert rows["one"] == [(1, 7)] and set(rows) == {"q0", "q1", "q2", "one"}
+
+
+def compared_tables(spark, rng):
+    """Reports, requests and machines, some requests twice, most for one app."""
+    names = ranking.NORM_COLUMNS
+    norm = lambda: [rng.choice(["nvidia", "amd", None])] + [rng.choice([None, "a1b2c3"])] + [None] * (len(names) - 2)
+    shape = ", ".join(f"{name} string" for name in names)
+    rows = [
+        (rng.choice([1, 1, 1, 2, 3, None]), "s", f"r{n % 30}", [n], dt.datetime(2000, rng.randrange(1, 13), 2), "gold", "", None, "yes", *norm())
+        for n in range(80)
+    ]
+    columns = "appid int, source_id string, source_report_id string, position array<int>, ts timestamp, rating string, launch_options string, notes string, verdict string"
+    reports = spark.createDataFrame(rows, f"{columns}, {shape}")
+    profiles = spark.createDataFrame([(p, *norm()) for p in range(40)], f"profile_id long, {shape}")
+    requests = [(p, 1) for p in range(40)] + [(p, app) for p in range(7) for app in (1, 2, 9)] + [(99, 1), (None, 1), (3, None)]
+    return reports, spark.createDataFrame(requests, "profile_id long, appid int"), profiles, F.lit("2001-08-02").cast("timestamp")
+
+
+def test_reports_meet_requests_in_blocks(spark, monkeypatch):
+    """Blocks of requests give the rows that single requests give, by as many tasks as there are rows to make."""
+    monkeypatch.setattr(ranking, "_BLOCK_BITS", 2)
+    monkeypatch.setattr(ranking, "MEETINGS", 100)
+    reports, requests, profiles, now = compared_tables(spark, random.Random(5))
+    machines = ranking.asked(requests, profiles)
+    rows = ranking.scored(reports, now, [])
+    key = ["profile_id", "appid", "source_report_id", "position", "similarity", "score"]
+    want = ranking.for_requests(ranking.compare_machines(rows, machines), machines).select(*key)
+    got = ranking.compare(reports, requests, profiles, now, []).select(*key)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    assert got.rdd.getNumPartitions() >= want.count() // 100
+    _, blocks = ranking.request_blocks(machines)
+    sizes = [len(r["profiles"]) for r in blocks.collect()]
+    assert max(sizes) <= 4 and sum(sizes) == machines.where("appid IS NOT NULL").count()
+    # no likeness is worked out for a row that only meets it
+    assert "round" not in ranking.alike(rows.select("appid", "hardware").distinct(), machines)._jdf.queryExecution().optimizedPlan().toString()
+    assert ranking.compare(reports.limit(0), requests, profiles, now, []).collect() == []
+    assert ranking.compare(reports, requests.limit(0), profiles, now, []).collect() == []
