@@ -5,6 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from compatlake.checks import registry
 from compatlake.functions.rules import COMMAND
 from compatlake.operators import launchline, mining, ranking, scaling, search
 from compatlake.sources.records import flatten
@@ -277,3 +278,16 @@ def test_reports_meet_requests_in_blocks(spark, monkeypatch):
     assert "round" not in ranking.alike(rows.select("appid", "hardware").distinct(), machines)._jdf.queryExecution().optimizedPlan().toString()
     assert ranking.compare(reports.limit(0), requests, profiles, now, []).collect() == []
     assert ranking.compare(reports, requests.limit(0), profiles, now, []).collect() == []
+
+
+def test_compared_columns_are_made_once_per_machine(spark):
+    """A column of compared reports is text before the requests meet it."""
+    reports, requests, profiles, now = compared_tables(spark, random.Random(6))
+    day = F.date_format("ts", "yyyy-MM-dd").alias("day")
+    got = ranking.compare(reports, requests, profiles, now, [], [day, "age_days"])
+    want = ranking.compare(reports, requests, profiles, now, [])
+    key = ["profile_id", "appid", "source_report_id", "position", "age_days"]
+    assert sorted(map(repr, got.select(*key, "day").collect())) == sorted(map(repr, want.select(*key, day).collect()))
+    for name in ("c5_profiles_against_reports", "b47_rank_score"):
+        plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "date_format" not in plan and "hardware" not in plan
