@@ -291,3 +291,19 @@ def test_compared_columns_are_made_once_per_machine(spark):
     for name in ("c5_profiles_against_reports", "b47_rank_score"):
         plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert "date_format" not in plan and "hardware" not in plan
+
+
+def test_ranked_reports_meet_requests_in_many_tasks(spark, monkeypatch):
+    """Few reports of one score and many requests: as many tasks as there are rows to make, not as the reports fill."""
+    monkeypatch.setattr(ranking, "_BLOCK_BITS", 2)
+    monkeypatch.setattr(ranking, "MEETINGS", 100)
+    reports, requests, profiles, now = compared_tables(spark, random.Random(7))
+    machines = ranking.asked(requests, profiles)
+    rows = ranking.scored(reports, now, [])
+    got = ranking.rank_reports(rows, machines, keep=["appid"])
+    key = ["profile_id", "appid", "source_report_id", "position", "score", "rank"]
+    full = ranking.rank_reports(rows, machines)
+    assert sorted(map(repr, got.select(*key).collect())) == sorted(map(repr, full.select(*key).collect()))
+    assert "hardware" in full.columns and "hardware" not in got.columns
+    assert got.rdd.getNumPartitions() >= got.count() // 100 >= 10
+    assert got.count() == ranking.for_requests(ranking.compare_machines(rows, machines), machines).count()
