@@ -307,3 +307,16 @@ def test_ranked_reports_meet_requests_in_many_tasks(spark, monkeypatch):
     assert "hardware" in full.columns and "hardware" not in got.columns
     assert got.rdd.getNumPartitions() >= got.count() // 100 >= 10
     assert got.count() == ranking.for_requests(ranking.compare_machines(rows, machines), machines).count()
+
+
+def test_best_reports_are_picked_once(spark):
+    """The few reports of each cell are worked out once, though kinds of hardware are read from them too."""
+    reports, requests, profiles, now = compared_tables(spark, random.Random(8))
+    machines = ranking.asked(requests, profiles)
+    rows = ranking.scored(reports, now, [])
+    best = ranking.best_reports(rows, machines, 3)
+    plan = best._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("row_number()") <= 2 and "norm_gpu_vendor" not in plan.replace("machine", "")
+    key = ["profile_id", "appid", "position", "rank"]
+    want = ranking.rank_reports(rows, machines).where("rank <= 3").select(*key)
+    assert sorted(map(repr, ranking.for_requests(best, machines).select(*key).collect())) == sorted(map(repr, want.collect()))
