@@ -320,3 +320,31 @@ def test_best_reports_are_picked_once(spark):
     key = ["profile_id", "appid", "position", "rank"]
     want = ranking.rank_reports(rows, machines).where("rank <= 3").select(*key)
     assert sorted(map(repr, ranking.for_requests(best, machines).select(*key).collect())) == sorted(map(repr, want.collect()))
+
+
+def test_nothing_is_stored_per_report_and_machine(spark, monkeypatch):
+    """Reports meet blocks of requests of their kind; what is said of a report and a machine is written nowhere."""
+    monkeypatch.setattr(ranking, "_BLOCK_BITS", 2)
+    reports, requests, profiles, now = compared_tables(spark, random.Random(9))
+    machines = ranking.asked(requests, profiles)
+    made = ranking.compare_machines(ranking.asked_for(ranking.scored(reports, now, []), machines), machines).count()
+    sizes, keep = [], ranking.stored
+
+    def counted(df):
+        table = keep(df)
+        sizes.append(table.count())
+        return table
+
+    monkeypatch.setattr(ranking, "stored", counted)
+    text = F.concat_ws("|", "reasons").alias("text")
+    got = ranking.compare_explained(reports, requests, profiles, now, ["launch_options"], lambda: ["similarity", "score", text])
+    want = ranking.explain(ranking.compare(reports, requests, profiles, now, ["launch_options"]))
+    key = ["profile_id", "appid", "source_report_id", "position", "similarity", "score"]
+    assert sorted(map(repr, got.select(*key, "text").collect())) == sorted(map(repr, want.select(*key, text).collect()))
+    assert max(sizes) < made / 2
+    # blocks of an app and machine are full but for one
+    askers, blocks = ranking.request_blocks(machines)
+    sizes = {}
+    for row in blocks.collect():
+        sizes.setdefault(row["asker"], []).append(len(row["profiles"]))
+    assert all(sorted(found)[1:] == [4] * (len(found) - 1) for found in sizes.values()) and len(sizes) == askers.where("appid IS NOT NULL").count()
