@@ -419,3 +419,28 @@ def test_raw_json_is_dealt_out(spark, tmp_path):
     rows = registry.QUERIES["a4_raw_json_characters"](spark, str(tmp_path)).withColumn("task", F.spark_partition_id()).collect()
     assert sorted(r["k"] for r in rows) == [k for k in range(60) if k % 6 not in (3, 5)]
     assert len({r["task"] for r in rows}) > 1
+
+
+def test_games_meet_roots_in_blocks(spark, monkeypatch):
+    """Roots of a shelf, one of them NULL, meet its games by the block; each game is in each root once."""
+    monkeypatch.setattr(manifests, "_BLOCK_BITS", 2, raising=False)
+    games = [(lib, f"{lib}/{n}", n, f"Game {n}") for lib in ("/a", None) for n in range(5)]
+    libraries = [(root, 0, "/a") for root in (*(f"/r{n}" for n in range(21)), None)]
+    frames = (
+        spark.createDataFrame(games, "library string, path string, appid int, name string"),
+        spark.createDataFrame(libraries, "root string, pos int, library string"),
+        spark.createDataFrame([("/r3", 2, "opt")], "root string, appid int, existing string"),
+    )
+    met, join = [], manifests.sliced_join
+
+    def watched(large, small, *more, **named):
+        met.append(small.count())
+        return join(large, small, *more, **named)
+
+    monkeypatch.setattr(manifests, "sliced_join", watched)
+    found = manifests.inventory(*frames).select("root", "appid", "name", "existing").collect()
+    # a library no root lists, or a root without a name, goes by the library
+    roots = {"/a": [*(f"/r{n}" for n in range(21)), "/a"], None: [None]}
+    want = [(root, at, name, "opt" if (root, at) == ("/r3", 2) else "") for lib, _, at, name in games for root in roots[lib]]
+    assert sorted(map(repr, map(tuple, found))) == sorted(map(repr, want))
+    assert max(met) <= 7
